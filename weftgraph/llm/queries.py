@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .op1_token_index import op1_token_index
+from .op7_simhash import op7_simhash
 from .op9_packing import op9_packing
 
 QUERIES = {
     "op1_token_index": op1_token_index,
+    "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
