@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op10_media import op10_media
 from .op1_token_index import op1_token_index
 from .op7_simhash import op7_simhash
 from .op9_packing import op9_packing
@@ -10,5 +11,6 @@ QUERIES = {
     "op1_token_index": op1_token_index,
     "op7_simhash": op7_simhash,
     "op9_packing": op9_packing,
+    "op10_media": op10_media,
 }
 ORACLE_SQL: dict[str, str] = {}
