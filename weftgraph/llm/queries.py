@@ -7,6 +7,7 @@ from .op1_token_index import op1_token_index
 from .op2_quality import op2_quality
 from .op6_language import op6_language
 from .op7_simhash import op7_simhash
+from .op8_bpe import op8_bpe
 from .op9_packing import op9_packing
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
+    "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
