@@ -6,6 +6,7 @@ from .op10_media import op10_media
 from .op1_token_index import op1_token_index
 from .op2_quality import op2_quality
 from .op3_chat import op3_chat
+from .op4_spotsigs import op4_spotsigs
 from .op5_license import op5_license
 from .op6_language import op6_language
 from .op7_simhash import op7_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_token_index": op1_token_index,
     "op2_quality": op2_quality,
     "op3_chat": op3_chat,
+    "op4_spotsigs": op4_spotsigs,
     "op5_license": op5_license,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
