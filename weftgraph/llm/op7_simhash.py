@@ -98,12 +98,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def groups_needed(n: int, radius: int) -> int:
-    """The least k for which a fingerprint meets at most about 200 strangers over all
-    its cells: two random segments hold equal counts in 3 of 8 cases."""
-    k = 2
-    while k < 12 and comb(k + radius, k) * n * 0.375 ** (SEGMENTS * k / (k + radius)) > 200:
-        k += 1
-    return k
+    """The k of least cost a fingerprint: C(k + r, k) cells, each about as dear as 100
+    comparisons, and the strangers in them (two random segments hold equal counts in 3
+    of 8 cases)."""
+    return min(range(1, 13), key=lambda k: comb(k + radius, k) * (100 + n * 0.375 ** (SEGMENTS * k / (k + radius))))
 
 
 def embed(x: np.ndarray) -> np.ndarray:
@@ -195,6 +193,17 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of ``docs``, with all its columns: the one of least key
+    (null keys last), then of least hash of key and text; of equal rows any one."""
+    tag = F.xxhash64("doc_id", "text")
+    groups = simhash_groups(docs.select(tag.alias("doc_id"), "text"), words, radius)
+    keys = docs.select(tag.alias("tag"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), tag.alias("t")).alias("key")).distinct()
+    best = keys.join(groups.select(F.col("doc_id").alias("tag"), "component_id").distinct(), "tag").groupBy("component_id").agg(F.min("key").alias("key"))
+    chosen = best.select(F.col("key.t").alias("__tag"))
+    return docs.withColumn("__tag", tag).join(chosen, "__tag", "left_semi").dropDuplicates(["__tag"]).drop("__tag")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, fingerprint, component_id."""
     found = simhash_groups(table(spark, sf_dir, "documents"))
