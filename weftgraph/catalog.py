@@ -1,10 +1,8 @@
-"""Registry of the engine's queries and of equivalent SQL."""
+"""All queries of the engine and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from weftgraph.queries import analytics, constraints, detect, evaluate, functions, memory, resolve, retrieval, shapes, sources  # noqa: F401
+from weftgraph.registry import OPERATORS, ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["OPERATORS", "ORACLE_SQL", "QUERIES"]
