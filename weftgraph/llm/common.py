@@ -54,3 +54,32 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``doc_id`` and whole ``text`` only, null text as empty: extra or clashing
     columns of the input never reach an operator."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def sampled_texts(keys: DataFrame, texts: DataFrame, size: int, counts: dict) -> dict:
+    """{class: at most ``size`` distinct texts, those of least hash} in three narrow
+    steps, two passes over the rows whatever the number of classes.
+
+    ``keys``: rows (cls, h); ``texts``: rows (h, text) with the texts of those hashes;
+    ``counts``: about how many rows a class has. A fraction of the hashes that holds
+    twice a class's sample is cut first, so the driver gets some 2 x ``size`` keys a
+    class; then only the chosen texts move."""
+    spark = keys.sparkSession
+    if not counts:
+        return {}
+    cuts = spark.createDataFrame([(c, int(min(1.0, 2 * size / max(1, n)) * (1 << 20))) for c, n in counts.items()], schema_of(keys, "cls") + ", cut int")
+    near = keys.join(F.broadcast(cuts), "cls").where(F.pmod(F.col("h"), F.lit(1 << 20)) <= F.col("cut")).select("cls", "h").distinct()
+    found: dict = {c: [] for c in counts}
+    for r in near.collect():
+        found[r["cls"]].append(r["h"])
+    chosen = {c: sorted(hs)[:size] for c, hs in found.items()}
+    wanted = [(h,) for h in sorted({h for hs in chosen.values() for h in hs})]
+    if not wanted:
+        return chosen
+    got = texts.join(F.broadcast(spark.createDataFrame(wanted, "h long")), "h").groupBy("h").agg(F.max("text").alias("text"))
+    by_hash = {r["h"]: r["text"] for r in got.collect()}
+    return {c: [by_hash[h] for h in hs] for c, hs in chosen.items()}
+
+
+def schema_of(df: DataFrame, name: str) -> str:
+    return f"{name} {df.schema[name].dataType.simpleString()}"

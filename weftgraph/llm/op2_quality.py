@@ -27,10 +27,10 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_text, small_batches, table
+from .common import keyed_text, sampled_texts, small_batches, table
 
 #: Bounds of the labelled sample, for each class.
-SAMPLE = 2000
+SAMPLE = 4000
 SAMPLE_CHARS = 20_000
 BLOCK = 512
 LEVEL = 3
@@ -117,12 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int | None = 1) -> Model:
     if held_out is not None:
         own = own.where(fold(F.col("doc_id")) != held_out)
     counts = {r["quality"]: r["count"] for r in own.groupBy("quality").count().collect()}  # two rows
-    rows = keyed_text(docs).where(F.length("text").between(1, SAMPLE_CHARS)).join(own, "doc_id")
-    sample = []
-    for c in (0, 1):
-        by_hash = rows.where(F.col("quality") == c).select("text", F.xxhash64("doc_id", "text").alias("h"))
-        sample.append([r["text"] for r in by_hash.orderBy("h", "text").limit(SAMPLE).collect()])  # bounded by SAMPLE
-    return train(tuple(sample), (counts.get(0, 0), counts.get(1, 0)))
+    rows = keyed_text(docs).where(F.length("text").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("doc_id", "text"))
+    marked = rows.select("doc_id", "h").join(own, "doc_id").select(F.col("quality").alias("cls"), "h")  # no texts move
+    texts = sampled_texts(marked, rows.select("h", "text"), SAMPLE, counts)
+    return train((texts.get(0, []), texts.get(1, [])), (counts.get(0, 0), counts.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import sampled_texts, small_batches, table, written
 
 SAMPLE = 500
 SAMPLE_CHARS = 20_000
@@ -109,12 +109,9 @@ def fit_texts(by_language: dict[str, list[str]]) -> TextModel:
 def fit(docs: DataFrame) -> TextModel:
     """The text model from a bounded sample of documents with a language label."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and lang <> '' and length(text) > 0")
-    own = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    short = rows.where(F.length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("text"))
-    texts: dict[str, list[str]] = {}
-    for lang in own:  # at most LANGUAGES top-k scans, each bounded by SAMPLE
-        some = short.where(F.col("lang") == lang).select("h", "text").distinct().orderBy("h", "text").limit(SAMPLE)
-        texts[lang] = [r["text"] for r in some.collect()]
+    own = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    short = rows.where(F.length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("lang", "text"))
+    texts = sampled_texts(short.select(F.col("lang").alias("cls"), "h"), short.select("h", "text"), SAMPLE, own)
     return fit_texts(texts)
 
 
