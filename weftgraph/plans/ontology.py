@@ -167,7 +167,7 @@ class Ontology:
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(ont_nodes, ont_props, ont_rels), as small as the schema."""
         n = [(k, list(v.broader), list(v.identity)) for k, v in self.nodes.items()]
-        p = [(k, a, x.type, x.unique, x.required, list(x.enum), x.low, x.high) for k, v in self.nodes.items() for a, x in v.properties.items()]
+        p = [(k, a, x.type, x.unique, x.required, list(x.enum), None if x.low is None else float(x.low), None if x.high is None else float(x.high)) for k, v in self.nodes.items() for a, x in v.properties.items()]
         r = [(k, v.source, v.target, v.cardinality) for k, v in self.relations.items()]
         return (
             spark.createDataFrame(n, "label string, broader array<string>, identity array<string>"),
