@@ -1 +1 @@
-"""See the package README for the operator map."""
+"""Structured Streaming twins of the event memory."""
