@@ -98,10 +98,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def groups_needed(n: int, radius: int) -> int:
-    """The k of least cost a fingerprint: C(k + r, k) cells, each about as dear as 100
+    """The k, two or more, of least cost a fingerprint: C(k + r, k) cells, each about as dear as 100
     comparisons, and the strangers in them (two random segments hold equal counts in 3
     of 8 cases)."""
-    return min(range(1, 13), key=lambda k: comb(k + radius, k) * (100 + n * 0.375 ** (SEGMENTS * k / (k + radius))))
+    return min(range(2, 13), key=lambda k: comb(k + radius, k) * (100 + n * 0.375 ** (SEGMENTS * k / (k + radius))))
 
 
 def embed(x: np.ndarray) -> np.ndarray:
@@ -179,7 +179,7 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
                     b.append(x[j])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], ["a", "b"])
 
-    small_batches(classes.sparkSession, 4096)
+    small_batches(classes.sparkSession, 1024)
     return lists.select("fps").mapInArrow(verify, "a long, b long")
 
 
