@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.plans.ontology import Ontology
 
-N = F.count(F.lit(1))
+def N():  # noqa: N802
+    return F.count(F.lit(1))
+
 
 
 def falsy(c: Column) -> Column:
@@ -62,7 +64,7 @@ def violations(o: Ontology, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for end, want in (("src_label", "source"), ("dst_label", "target")):
         ok = typed.join(isa.select(F.col("label").alias(end), F.col("ancestor").alias(want)), [end, want], "left_anti").where(F.col(want) != "Any")
         out.append(bad(ok, "endpoint", F.col("src"), F.concat_ws(":", "type", F.col(end))))
-    single = edges.join(rels.where("cardinality in ('ONE_TO_ONE', 'MANY_TO_ONE')").select("type"), "type", "left_semi").groupBy("src", "type").agg(N.alias("n")).where("n > 1")
+    single = edges.join(rels.where("cardinality in ('ONE_TO_ONE', 'MANY_TO_ONE')").select("type"), "type", "left_semi").groupBy("src", "type").agg(N().alias("n")).where("n > 1")
     out.append(bad(single, "cardinality", F.col("src"), F.col("type")))
     return reduce(DataFrame.unionByName, out)
 
@@ -95,9 +97,9 @@ def infer_rules(rows: DataFrame, required: float = 0.98) -> DataFrame:
     v = F.col("value")
     kind = F.when(F.lower(v).isin("true", "false"), "boolean").when(v.try_cast("long").isNotNull(), "integer").when(v.try_cast("double").isNotNull(), "number").otherwise("string")
     said = rows.where("value is not null and value <> ''").withColumn("kind", kind)
-    kinds = said.groupBy("label", "prop", "kind").agg(N.alias("c"))
+    kinds = said.groupBy("label", "prop", "kind").agg(N().alias("c"))
     top = kinds.groupBy("label", "prop").agg(F.min_by("kind", F.struct(-F.col("c"), F.col("kind"))).alias("type"))
-    facts = said.groupBy("label", "prop").agg(N.alias("filled"), F.countDistinct("value").alias("values"), F.min(v.try_cast("double")).alias("low"), F.max(v.try_cast("double")).alias("high"))
+    facts = said.groupBy("label", "prop").agg(N().alias("filled"), F.countDistinct("value").alias("values"), F.min(v.try_cast("double")).alias("low"), F.max(v.try_cast("double")).alias("high"))
     out = facts.join(top, ["label", "prop"]).join(of, "label")
     share = F.col("filled") / F.col("n_label")
     listed = (F.col("values") > 0) & (F.col("values") <= 20) & (F.col("values") <= F.greatest(F.lit(2), F.floor(0.2 * F.col("filled"))))
@@ -131,14 +133,14 @@ def violation_sql(label: str, prop: str, rule: dict) -> str:
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that more than one row has; rows with a null key are not compared."""
     known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
-    return rows.where(known).groupBy(*keys).agg(N.alias("n")).where("n > 1")
+    return rows.where(known).groupBy(*keys).agg(N().alias("n")).where("n > 1")
 
 
 def coverage(o: Ontology, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """How often each declared label and type is used, unused ones with 0."""
     ont, _, rels = o.tables(nodes.sparkSession)
-    n = ont.select("label").join(nodes.groupBy("label").agg(N.alias("n")), "label", "left").select(F.lit("label").alias("kind"), F.col("label").alias("name"), "n")
-    e = rels.select("type").join(edges.groupBy("type").agg(N.alias("n")), "type", "left").select(F.lit("type").alias("kind"), F.col("type").alias("name"), "n")
+    n = ont.select("label").join(nodes.groupBy("label").agg(N().alias("n")), "label", "left").select(F.lit("label").alias("kind"), F.col("label").alias("name"), "n")
+    e = rels.select("type").join(edges.groupBy("type").agg(N().alias("n")), "type", "left").select(F.lit("type").alias("kind"), F.col("type").alias("name"), "n")
     return n.unionByName(e).na.fill(0, ["n"])
 
 
@@ -167,7 +169,7 @@ def migrate(rows: DataFrame, renames: dict[str, str], drops: list[str], at: str)
 def induce(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """For each relationship its majority endpoint labels (ties by name) and use."""
     label = nodes.select("id", "label")
-    ends = edges.join(label.toDF("src", "source"), "src").join(label.toDF("dst", "target"), "dst").groupBy("type", "source", "target").agg(N.alias("n"))
+    ends = edges.join(label.toDF("src", "source"), "src").join(label.toDF("dst", "target"), "dst").groupBy("type", "source", "target").agg(N().alias("n"))
     best = ends.groupBy("type").agg(F.min_by(F.struct("source", "target"), F.struct(-F.col("n"), F.col("source"), F.col("target"))).alias("m"), F.sum("n").alias("edges"))
     return best.select("type", F.col("m.source").alias("source"), F.col("m.target").alias("target"), "edges")
 
@@ -176,8 +178,8 @@ def mine_axioms(edges: DataFrame, confidence: float = 0.95) -> DataFrame:
     """For each type, the shares of sources with one target and of targets with one
     source, and whether it is functional or inverse functional."""
     e = edges.select("type", "src", "dst").distinct()
-    f = e.groupBy("type", "src").agg(N.alias("n")).groupBy("type").agg(N.alias("sources"), F.avg((F.col("n") == 1).cast("double")).alias("functional"))
-    i = e.groupBy("type", "dst").agg(N.alias("n")).groupBy("type").agg(N.alias("targets"), F.avg((F.col("n") == 1).cast("double")).alias("inverse"))
+    f = e.groupBy("type", "src").agg(N().alias("n")).groupBy("type").agg(N().alias("sources"), F.avg((F.col("n") == 1).cast("double")).alias("functional"))
+    i = e.groupBy("type", "dst").agg(N().alias("n")).groupBy("type").agg(N().alias("targets"), F.avg((F.col("n") == 1).cast("double")).alias("inverse"))
     out = f.join(i, "type")
     return out.select("type", "sources", "targets", F.round("functional", 4).alias("functional"), F.round("inverse", 4).alias("inverse"), (F.col("functional") >= confidence).alias("is_functional"), (F.col("inverse") >= confidence).alias("is_inverse"))
 
@@ -185,7 +187,7 @@ def mine_axioms(edges: DataFrame, confidence: float = 0.95) -> DataFrame:
 def disjoint_labels(members: DataFrame, support: int = 1) -> DataFrame:
     """Pairs of labels that no entity has together; members are (id, label)."""
     m = members.distinct()
-    size = m.groupBy("label").agg(N.alias("n")).where(F.col("n") >= support)
+    size = m.groupBy("label").agg(N().alias("n")).where(F.col("n") >= support)
     together = m.toDF("id", "a").join(m.toDF("id", "b"), "id").where("a < b").select("a", "b").distinct()
     pairs = size.select(F.col("label").alias("a")).join(F.broadcast(size.select(F.col("label").alias("b"))), F.col("a") < F.col("b"))  # labels of the schema
     return pairs.join(together, ["a", "b"], "left_anti")
@@ -196,7 +198,7 @@ def compositions(first: DataFrame, second: DataFrame, head: DataFrame) -> DataFr
     body gives, those that the head has too, and the confidence."""
     body = first.select(F.col("src").alias("x"), F.col("dst").alias("y")).distinct().join(second.select(F.col("src").alias("y"), F.col("dst").alias("z")).distinct(), "y").select("x", "z").distinct()
     h = head.select(F.col("src").alias("x"), F.col("dst").alias("z")).distinct().withColumn("h", F.lit(1))
-    return body.join(h, ["x", "z"], "left").agg(N.alias("body"), F.count("h").alias("head")).withColumn("confidence", F.expr("try_divide(head, body)"))
+    return body.join(h, ["x", "z"], "left").agg(N().alias("body"), F.count("h").alias("head")).withColumn("confidence", F.expr("try_divide(head, body)"))
 
 
 def entail(edges: DataFrame, subtype: dict[str, str], inverse: dict[str, str]) -> DataFrame:
@@ -208,7 +210,7 @@ def entail(edges: DataFrame, subtype: dict[str, str], inverse: dict[str, str]) -
 
 def ambiguous(names: DataFrame) -> DataFrame:
     """Surfaces that more than one entity has, commonest first; rows (surface, id)."""
-    return names.groupBy("surface").agg(F.countDistinct("id").alias("entities"), N.alias("n"), F.min("id").alias("least")).where("entities > 1")
+    return names.groupBy("surface").agg(F.countDistinct("id").alias("entities"), N().alias("n"), F.min("id").alias("least")).where("entities > 1")
 
 
 def drift(rows: DataFrame, active: str) -> DataFrame:

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-N = F.count(F.lit(1))
+def N():  # noqa: N802
+    return F.count(F.lit(1))
+
 
 
 def commit(events: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def history(events: DataFrame, memory_id, limit: int) -> DataFrame:
 
 def backlog(events: DataFrame, watermark: int, now: Column) -> DataFrame:
     """M5: one row: how many events a projection has not applied, and the oldest's age."""
-    return events.where(F.col("sequence") > watermark).agg(N.alias("pending"), (now - F.min("ts")).alias("oldest_seconds"))
+    return events.where(F.col("sequence") > watermark).agg(N().alias("pending"), (now - F.min("ts")).alias("oldest_seconds"))
 
 
 def acknowledge(state: DataFrame, acks: DataFrame) -> DataFrame:
@@ -133,7 +135,7 @@ def chain_events(txs: DataFrame) -> DataFrame:
 
 def latest_active(events: DataFrame, k: int, least: int = 2) -> DataFrame:
     """The k memories of the greatest last sequence among those with ``least`` events."""
-    return events.groupBy("memory_id").agg(F.max("sequence").alias("last"), N.alias("n")).where(F.col("n") >= least).orderBy(F.desc("last"), "memory_id").limit(k)
+    return events.groupBy("memory_id").agg(F.max("sequence").alias("last"), N().alias("n")).where(F.col("n") >= least).orderBy(F.desc("last"), "memory_id").limit(k)
 
 
 def parity(source: DataFrame, projected: DataFrame, key: str) -> DataFrame:

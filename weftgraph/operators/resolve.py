@@ -16,7 +16,9 @@ from weftgraph.functions.text import identity_segment, name_key
 from .analytics import components
 
 KEY = ["label", "id", "workspace"]
-N = F.count(F.lit(1))
+def N():  # noqa: N802
+    return F.count(F.lit(1))
+
 
 
 def upsert_nodes(writes: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def delete_by_source(nodes: DataFrame, source: str) -> DataFrame:
 
 def count_by_source(nodes: DataFrame) -> DataFrame:
     """W7"""
-    return nodes.select(F.explode("sources").alias("source")).groupBy("source").agg(N.alias("n"))
+    return nodes.select(F.explode("sources").alias("source")).groupBy("source").agg(N().alias("n"))
 
 
 def reindex(nodes: DataFrame, source: str, fresh: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def reindex(nodes: DataFrame, source: str, fresh: DataFrame) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, hashed: Column, key: str) -> DataFrame:
     """The row of the least key for each content hash."""
-    return docs.withColumn("hash", hashed).groupBy("hash").agg(F.min(key).alias(key), N.alias("copies"))
+    return docs.withColumn("hash", hashed).groupBy("hash").agg(F.min(key).alias(key), N().alias("copies"))
 
 
 def cross_chunk(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

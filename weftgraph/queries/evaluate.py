@@ -7,7 +7,9 @@ from weftgraph.operators import evaluate as e
 from weftgraph.plans.demo import table
 from weftgraph.registry import query
 
-N = F.count(F.lit(1))
+def N():  # noqa: N802
+    return F.count(F.lit(1))
+
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''))"
 
 
@@ -98,7 +100,7 @@ def disclosed(spark, sf):
 @query("granted_facts", "J8", "SELECT source, COUNT(*) AS n FROM documents WHERE source IN ('src1', 'src3') GROUP BY 1")
 def granted(spark, sf):
     grants = spark.createDataFrame([("ann", "src1"), ("ann", "src3"), ("bob", "src2")], "principal string, source string")
-    return e.granted(table(spark, sf, "documents"), grants, "ann").groupBy("source").agg(N.alias("n"))
+    return e.granted(table(spark, sf, "documents"), grants, "ann").groupBy("source").agg(N().alias("n"))
 
 
 @query("risk_disposition", "J5 D12", "WITH s AS (SELECT user_id AS subject, CASE event_type WHEN 'error' THEN 'high' WHEN 'signup' THEN 'medium' ELSE 'low' END AS severity, event_id % 3 AS hops FROM events WHERE event_id < 1000) SELECT subject, CASE WHEN MAX(CASE WHEN severity = 'high' AND hops <= 1 THEN 1 ELSE 0 END) = 1 THEN 'block' WHEN MAX(CASE WHEN severity IN ('high', 'medium') THEN 1 ELSE 0 END) = 1 THEN 'review' ELSE 'allow' END AS disposition FROM s GROUP BY subject")
@@ -115,19 +117,19 @@ def cost(spark, sf):
 
 @query("workload_verdict", "J11 N15", "SELECT CASE WHEN n <= 5 THEN 'execute' WHEN n <= 10 THEN 'bounded' WHEN o_custkey % 2 = 0 THEN 'approximate' ELSE 'decline' END AS verdict, COUNT(*) AS customers FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1) GROUP BY 1")
 def verdicts(spark, sf):
-    c = table(spark, sf, "orders").groupBy("o_custkey").agg(N.alias("n"))
-    return c.groupBy(e.verdict(F.col("n"), 5, 10, F.col("o_custkey") % 2 == 0).alias("verdict")).agg(N.alias("customers"))
+    c = table(spark, sf, "orders").groupBy("o_custkey").agg(N().alias("n"))
+    return c.groupBy(e.verdict(F.col("n"), 5, 10, F.col("o_custkey") % 2 == 0).alias("verdict")).agg(N().alias("customers"))
 
 
 @query("intent_classes", "J13", "SELECT CASE WHEN role = 'system' THEN 'system' WHEN contains(text, 'the ') THEN 'lookup' WHEN contains(text, 'of ') THEN 'path' ELSE 'other' END AS intent, COUNT(*) AS n FROM conversations GROUP BY 1")
 def intents(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.groupBy(F.when(F.col("role") == "system", "system").otherwise(e.classify("text", [("the ", "lookup"), ("of ", "path")], "other")).alias("intent")).agg(N.alias("n"))
+    return c.groupBy(F.when(F.col("role") == "system", "system").otherwise(e.classify("text", [("the ", "lookup"), ("of ", "path")], "other")).alias("intent")).agg(N().alias("n"))
 
 
 @query("lane_routing", "J12", "WITH s AS (SELECT user_id AS query, event_type AS lane, CAST(COUNT(*) AS DOUBLE) AS score FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, lane) AS r, COALESCE(lead(score) OVER (PARTITION BY query ORDER BY score DESC, lane), 0) AS nxt FROM s) SELECT query, CASE WHEN score - nxt >= 4 THEN lane ELSE 'abstain' END AS lane FROM r WHERE r = 1")
 def lanes(spark, sf):
-    s = table(spark, sf, "events").groupBy(F.col("user_id").alias("query"), F.col("event_type").alias("lane")).agg(N.cast("double").alias("score"))
+    s = table(spark, sf, "events").groupBy(F.col("user_id").alias("query"), F.col("event_type").alias("lane")).agg(N().cast("double").alias("score"))
     return e.route_margin(s, 4.0)
 
 
@@ -187,4 +189,4 @@ def sweeps(spark, sf):
 def saving(spark, sf):
     spent = F.sum(F.when(F.col("p_size") < 25, 1).otherwise(4))
     missing = F.when(F.col("p_partkey") % 6 != 0, F.col("p_name"))
-    return table(spark, sf, "part").agg(F.round(1 - spent / (4.0 * N), 6).alias("saved"), F.count_if(missing.isNull()).alias("incomplete"))
+    return table(spark, sf, "part").agg(F.round(1 - spent / (4.0 * N()), 6).alias("saved"), F.count_if(missing.isNull()).alias("incomplete"))

@@ -7,7 +7,9 @@ from weftgraph.registry import query
 from weftgraph.sources import chunks as ch
 from weftgraph.sources import readers as s
 
-N = F.count(F.lit(1))
+def N():  # noqa: N802
+    return F.count(F.lit(1))
+
 
 
 @query("record_id", "S8 S17 F19", "SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS sha256, source FROM documents")
@@ -48,12 +50,12 @@ def facts(spark, sf):
 
 @query("stratified_sample", "S20 S39 T4")
 def stratified(spark, sf):
-    return s.stratified(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 25, 7).groupBy("lang").agg(N.alias("n"))
+    return s.stratified(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 25, 7).groupBy("lang").agg(N().alias("n"))
 
 
 @query("power_law_generator", "S22 M14")
 def generator(spark, sf):
-    return s.power_law_edges(spark, 20_000, 500, 3.0, 11).groupBy("dst").agg(N.alias("indegree")).orderBy(F.desc("indegree"), "dst").limit(10)
+    return s.power_law_edges(spark, 20_000, 500, 3.0, 11).groupBy("dst").agg(N().alias("indegree")).orderBy(F.desc("indegree"), "dst").limit(10)
 
 
 @query("prefixed_ids", "S23 S24", "SELECT 'Supplier:' || s_suppkey AS id, s_name FROM supplier")
@@ -71,7 +73,7 @@ def turtle(spark, sf):
 @query("projection_ledger", "S27", "SELECT COUNT(DISTINCT user_id) AS n FROM events WHERE event_id >= 5000 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id < 100)")
 def ledger(spark, sf):
     e = table(spark, sf, "events").withColumnRenamed("user_id", "idempotency_key")
-    return s.new_only(e.where("event_id >= 5000"), e.where("event_id < 100")).agg(N.alias("n"))
+    return s.new_only(e.where("event_id >= 5000"), e.where("event_id < 100")).agg(N().alias("n"))
 
 
 @query("glossary_round_trip", "S31", "SELECT n_name AS name, 'nation ' || n_nationkey AS definition FROM nation")
@@ -89,13 +91,13 @@ def chunked(spark, sf):
 @query("chunk_chain", "W11", None)
 def chain(spark, sf):
     c = ch.chunk(table(spark, sf, "documents").select("doc_id", "text"), 1500, 100, "\n")
-    return ch.document_layer(c)[1].groupBy("type").agg(N.alias("n"))
+    return ch.document_layer(c)[1].groupBy("type").agg(N().alias("n"))
 
 
 @query("fallback_entities", "X35", r"SELECT name AS dst, COUNT(*) AS n FROM (SELECT item_id, unnest(list_distinct(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '\b([A-Z][a-z]{2,})\b', 1))) AS name FROM benchmark) GROUP BY 1")
 def fallback(spark, sf):
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
-    return ch.fallback_extraction(b)[1].groupBy("dst").agg(N.alias("n"))
+    return ch.fallback_extraction(b)[1].groupBy("dst").agg(N().alias("n"))
 
 
 @query("fact_triples", "F28")

@@ -31,7 +31,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """A file is a document; folders are read through, bytes that are no UTF-8
     replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,md}").load(path)
-    return record(files, F.col("path"), F.decode("content", F.lit("UTF-8")), source=F.col("path"))
+    return record(files, F.col("path"), F.make_valid_utf8(F.col("content").cast("string")), source=F.col("path"))
 
 
 def joined_cells(columns: list[str]) -> Column:
