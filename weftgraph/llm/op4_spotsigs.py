@@ -1,6 +1,6 @@
 """Document fingerprints by SpotSigs (operator 4), DataFrame functions only.
 
-Words are runs of letters and digits in lower case. A word of ``ANCHORS`` marks a
+Words are runs of ASCII letters, digits and any characters beyond ASCII, in lower case. A word of ``ANCHORS`` marks a
 spot; its signature is the anchor with the next ``CHAIN`` content words, the words
 that are no anchors. With p_j the place of the j-th anchor (from 0), p_j - j content
 words stand before it, so every chain is a slice of the array of content words. A
@@ -21,6 +21,7 @@ empty table gives no rows."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,39 +37,49 @@ ANCHORS = (
     "el los las del una y por con para su se lo al como más pero sus este entre ya o"
 ).split()
 THRESHOLD = 0.8
+#: What stands between words: ASCII that is neither letter nor digit.
+SPLIT = r"[\x00-/:-@\[-`{-\x7f]+"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda evaluates what it refers to
+    outside itself anew for every element, except another lambda's variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def signatures(text: Column) -> Column:
-    """The sorted distinct 32-bit hashes of a text's signatures."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(_chains(words), lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))))
+    """The sorted distinct 32-bit hashes of a text's signatures, in linear time: words
+    and content words are computed once, each word is looked up once."""
+    words = F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
+    marked = let(words, lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: F.when(~x.isin(ANCHORS), x)).alias("kept")))
+    found = let(marked, lambda m: let(F.filter(m["kept"], lambda x: x.isNotNull()), lambda content: _chains(m["words"], m["kept"], content)))
+    own = F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return let(F.array_sort(F.array_distinct(found)), lambda s: F.when(F.size(s) > 0, s).otherwise(own))
 
 
-def _chains(words: Column) -> Column:
-    content = F.filter(words, lambda w: ~w.isin(ANCHORS))
-    places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(ANCHORS), i)), lambda i: i.isNotNull())
-    whole = F.filter(F.transform(places, lambda p, j: F.struct(p.alias("p"), (p - j).alias("c"))), lambda s: s["c"] + CHAIN <= F.size(content))
-    return F.transform(whole, lambda s: F.concat_ws(" ", F.element_at(words, s["p"] + 1), F.array_join(F.slice(content, s["c"] + 1, CHAIN), " ")))
+def _chains(words: Column, kept: Column, content: Column) -> Column:
+    """Hashes of the whole chains: the j-th anchor at place p has p - j content words
+    before it, so its chain is the slice of ``content`` from there."""
+    places = F.filter(F.transform(kept, lambda w, i: F.when(w.isNull(), i)), lambda i: i.isNotNull())
+    chain = lambda p, c: F.xxhash64(F.get(words, p), *[F.get(content, c + i) for i in range(CHAIN)]).bitwiseAND(F.lit(0xFFFFFFFF))
+    hashed = F.transform(places, lambda p, j: F.when(p - j + CHAIN <= F.size(content), chain(p, p - j)))
+    return F.filter(hashed, lambda h: h.isNotNull())
 
 
-def fingerprint(text: Column) -> Column:
-    """The set as ascending hexadecimal hashes of eight digits each."""
-    s = signatures(text)
-    own = F.array(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return F.array_join(F.transform(F.when(F.size(s) > 0, s).otherwise(own), lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), "")
+def as_text(sig: Column) -> Column:
+    """A signature set as a fingerprint: ascending hashes of eight digits each."""
+    return F.array_join(F.transform(sig, lambda h: F.lpad(F.hex(h), 8, "0")), "")
 
 
 def hashes(fp: Column) -> Column:
     """A fingerprint's set as an array of strings."""
-    n = (F.length(fp) / 8).cast("int")
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(fp, i * 8 + 1, F.lit(8))))
+    return F.regexp_extract_all(fp, F.lit(".{8}"), F.lit(0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two fingerprints; equal ones need no comparison."""
-    both = F.size(F.array_intersect(hashes(a), hashes(b)))
-    total = (F.length(a) + F.length(b)) / 8
-    return F.when(a == b, 1.0).otherwise(both / F.greatest(total - both, F.lit(1.0)))
+    """Similarity of two sets, given as arrays without repeats."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
 
 
 def near_pairs(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -82,7 +93,7 @@ def near_pairs(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     right = keyed.select(F.col("fingerprint").alias("b"), F.col("n").alias("nb"), "s", "part")
     close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold)
     pairs = left.join(right, ["s", "part"]).where(close).select("a", "b").distinct()
-    return pairs.withColumn("likeness", jaccard(F.col("a"), F.col("b"))).where(F.col("likeness") >= threshold - 1e-12)
+    return pairs.withColumn("likeness", jaccard(hashes(F.col("a")), hashes(F.col("b")))).where(F.col("likeness") >= threshold - 1e-12)
 
 
 KEY = ["known", "id", "hash"]
@@ -107,26 +118,27 @@ def in_order(rows: DataFrame) -> DataFrame:
 
 def edited_neighbours(docs: DataFrame) -> DataFrame:
     """Every row with the text that its last quarter's replacement by the next row's
-    beginning gives, and the fingerprints of its own, that, and the next text:
-    doc_id, text, edited, fingerprint, edited_fingerprint, next_fingerprint.
+    beginning gives, and the signature sets of its own, that, and the next text:
+    doc_id, text, edited, sig, edited_sig, next_sig.
 
-    Texts are shuffled once, by key; each sends its first characters, as many as the
-    row before it takes, and its fingerprint to that row. Rows that are equal in key
-    and text are one row with a count until the end; each is followed by its like,
-    the last of them by the next text."""
+    Texts are shuffled once, by key; each sends its first characters, as many as the row
+    before it takes, and its signatures to that row.
+    Rows that are equal in key and text are one row with a count until the end; each is
+    followed by its like, the last of them by the next text."""
     rows = keyed_text(docs).select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"), "text")
     classes = rows.groupBy(*KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")).join(in_order(rows), KEY)
-    said = classes.select(*[F.col(f"p_{c}").alias(c) for c in KEY], F.substring(F.col("text"), F.lit(1), F.floor(F.col("p_chars") / 4).cast("int")).alias("next_head"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    # both uses read the same columns of the texts' one exchange, so it is reused
+    said = classes.where("copies > 0").select(*[F.col(f"p_{c}").alias(c) for c in KEY], F.substring(F.col("text"), F.lit(1), F.floor(F.col("p_chars") / 4).cast("int")).alias("next_head"), signatures(F.col("text")).alias("next_sig"))
     quarter = F.floor(F.col("chars") / 4).cast("int")
     keep = F.substring(F.col("text"), F.lit(1), (F.col("chars") - quarter).cast("int"))
-    own = classes.select(*KEY, "text", "copies", keep.alias("keep"), F.substring(F.col("text"), F.lit(1), quarter).alias("own_head"), fingerprint(F.col("text")).alias("fingerprint"))
-    both = own.join(said, KEY).withColumn("edited", F.concat("keep", "next_head")).withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-    last = F.array(F.struct("edited", "edited_fingerprint", "next_fingerprint", F.lit(1).cast("long").alias("times")))
+    own = classes.where("copies > 0").select(*KEY, "text", "copies", signatures(F.col("text")).alias("sig"), keep.alias("keep"), F.substring(F.col("text"), F.lit(1), quarter).alias("own_head"))
+    both = own.join(said, KEY).withColumn("edited", F.concat("keep", "next_head")).withColumn("edited_sig", signatures(F.col("edited")))
+    last = F.array(F.struct("edited", "edited_sig", "next_sig", F.lit(1).cast("long").alias("times")))
     self_edited = F.concat("keep", "own_head")
-    inner = F.array(F.struct(self_edited.alias("edited"), fingerprint(self_edited).alias("edited_fingerprint"), F.col("fingerprint").alias("next_fingerprint"), (F.col("copies") - 1).alias("times")))
-    kinds = both.select("known", "id", "text", "fingerprint", F.inline(F.when(F.col("copies") > 1, F.concat(last, inner)).otherwise(last)))
+    inner = F.array(F.struct(self_edited.alias("edited"), signatures(self_edited).alias("edited_sig"), F.col("sig").alias("next_sig"), (F.col("copies") - 1).alias("times")))
+    kinds = both.select("known", "id", "text", "sig", F.inline(F.when(F.col("copies") > 1, F.concat(last, inner)).otherwise(last)))
     each = kinds.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    return each.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "text", "edited", "fingerprint", "edited_fingerprint", "next_fingerprint")
+    return each.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "text", "edited", "sig", "edited_sig", "next_sig")
 
 
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,8 +148,8 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        "fingerprint",
-        "edited_fingerprint",
-        jaccard(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        jaccard(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        as_text(F.col("sig")).alias("fingerprint"),
+        as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+        jaccard(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
+        jaccard(F.col("sig"), F.col("next_sig")).alias("near_next"),
     )
