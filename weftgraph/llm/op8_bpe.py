@@ -64,7 +64,12 @@ class Merges:
         order = np.argsort(keys)
         self.keys, self.made = keys[order], np.array(list(self.rank.values()), np.int64)[order]
         self.vocab = np.array([vocab[n] for n in names], np.int64)
-        self.longest = max(map(len, own), default=1)
+        # every beginning of a token, with the token that it is, or -1
+        self.steps: dict[str, int] = {}
+        for t, i in own.items():
+            for k in range(1, len(t)):
+                self.steps.setdefault(t[:k], -1)
+            self.steps[t] = i
         self.sound: dict[int, bool] = {}
 
     def exact(self, symbols: list[int]) -> list[int]:
@@ -127,18 +132,28 @@ class Merges:
         return [own[c] for c in piece[:-1] if c in own] + ([own[piece[-1] + self.suffix]] if piece[-1] + self.suffix in own else [])
 
     def greedy(self, piece: str) -> list[int] | None:
-        text, out, at, own = piece + self.suffix, [], 0, self.own
+        """Longest match from the left: a walk along known beginnings of tokens, after a
+        try of the whole rest. A token may not end inside the end mark."""
+        text, out, at, steps = piece + self.suffix, [], 0, self.steps
         end = len(text)
+        inner = end - len(self.suffix)
         while at < end:
-            for to in range(min(end, at + self.longest), at, -1):
-                t = own.get(text[at:to])
-                # a token may not end inside the end mark
-                if t is not None and (to == end or to < end - len(self.suffix) + (not self.suffix)):
-                    out.append(t)
-                    at = to
+            t = steps.get(text[at:], -1)
+            if t >= 0:
+                out.append(t)
+                return out
+            best, to = -1, at
+            for k in range(at + 1, inner + 1):
+                t = steps.get(text[at:k])
+                if t is None:
                     break
-            else:
+                # with an end mark the last character stands with it alone
+                if t >= 0 and (k < inner or not self.suffix):
+                    best, to = t, k
+            if best < 0:
                 return None
+            out.append(best)
+            at = to
         return out
 
     def is_sound(self, t: int) -> bool:
@@ -204,6 +219,10 @@ class SpeculativeBPE:
 
     def pieces(self, chunk: str) -> list[str]:
         """Words of a chunk without special tokens, in the byte-level alphabet."""
+        end = chunk[-1:] in (".", ",")
+        word = chunk[:-1] if end else chunk
+        if word.isascii() and word.isalpha():  # one run of letters, its own byte-level form
+            return [word.lower(), chunk[-1]] if end else [word.lower()]
         if PLAIN.fullmatch(chunk):
             return [p.encode().decode("latin-1").translate(BYTE_LEVEL) for p in self.pattern.findall(chunk.lower())]
         return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(chunk))]
