@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm import op2_quality, op6_language, op7_simhash, op9_packing
 from weftgraph.llm.common import small_batches, table, written
 
-#: Shingles of five words; fingerprints of near copies differ in at most six bits.
+#: Shingles of five words; of near copies' independent fingerprints some pair differs in
+#: at most six of 64 bits.
 WORDS, RADIUS = 5, 6
 
 

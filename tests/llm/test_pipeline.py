@@ -39,6 +39,22 @@ def test_keep_one_of_odd_rows(spark, docs, empty):
     assert op7_simhash.keep_one(empty).count() == 0
 
 
+def test_near_copies_of_four_fifths_are_found(spark):
+    """Pairs with scattered edits, five-word Jaccard 0.85 and more, against strangers."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), 6))
+    rows, found = [], 0
+    for i in range(60):
+        w = [word() for _ in range(300)]
+        v = list(w)
+        for at in rng.choice(300, 4, replace=False):
+            v[at] = word()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = {r.doc_id: r.component_id for r in op7_simhash.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 6).collect()}
+    found = sum(got[2 * i + 1] == 2 * i for i in range(60))
+    assert found >= 50 and all(got[2 * i] == 2 * i for i in range(60))
+
+
 def test_stages_on_an_empty_table(spark, empty, tmp_path):
     e = empty.select("doc_id", "text", "lang", "source", "n_chars")
     e.write.parquet(f"{tmp_path}/documents.parquet")

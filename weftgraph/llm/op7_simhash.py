@@ -24,6 +24,7 @@ Repeated rows are each returned. An empty table gives no rows."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, combinations
 from math import comb
 
@@ -59,10 +60,10 @@ def word_spans(data: bytes) -> Iterator[list[bytes]]:
     yield data[at:].split()
 
 
-def fingerprint(data: bytes, words: int = WORDS) -> int:
-    """SimHash of a text's word shingles, repeats included: a bit is set where it is
-    in over half of the shingles' hashes. Fewer words: their sequence; none: zero."""
-    counts, total, carry = np.zeros(64, np.int64), 0, []
+def shingles(data: bytes, words: int) -> Iterator[tuple[bytes, list[int], list[int]]]:
+    """(joined words, starts, ends) of a text's shingles, a span at a time. A text of
+    fewer words has one shingle, their sequence; one of no words has none."""
+    carry, any_yet = [], False
     for span in word_spans(data.lower()):
         own = carry + span
         if len(own) < words:
@@ -70,19 +71,43 @@ def fingerprint(data: bytes, words: int = WORDS) -> int:
             continue
         joined = b" ".join(own)
         ends = list(accumulate(map(len, own), lambda a, n: a + 1 + n))
-        starts = [0, *(e + 1 for e in ends[: len(own) - words])]
-        digest = xxhash.xxh64_digest
-        hashes = b"".join([digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :], strict=True)])
-        total += len(starts)
-        bits = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-        for lo in range(0, len(bits), 1 << 15):
-            counts += np.unpackbits(bits[lo : lo + (1 << 15)], axis=1).sum(axis=0, dtype=np.int64)
+        any_yet = True
+        yield joined, [0, *(e + 1 for e in ends[: len(own) - words])], ends[words - 1 :]
         carry = own[len(own) - words + 1 :] if words > 1 else []
-    if not total:
-        if not carry:
-            return 0
-        return xxhash.xxh64_intdigest(b" ".join(carry), SEED)
-    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+    if carry and not any_yet:
+        joined = b" ".join(carry)
+        yield joined, [0], [len(joined)]
+
+
+def majority(hashed: Iterator[tuple[bytes, int]], size: int) -> bytes:
+    """Of (hashes of ``size`` bytes each, how many): a bit is set where it is in over
+    half of all."""
+    counts, total = np.zeros(8 * size, np.int64), 0
+    for digests, n in hashed:
+        total += n
+        bits = np.frombuffer(digests, np.uint8).reshape(n, size)
+        for lo in range(0, n, 1 << 14):
+            counts += np.unpackbits(bits[lo : lo + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > total).tobytes()
+
+
+def fingerprint(data: bytes, words: int = WORDS) -> int:
+    """SimHash of a text's word shingles, repeats included: a bit is set where it is in
+    over half of the shingles' hashes. Fewer words: their sequence; none: zero."""
+    digest = xxhash.xxh64_digest
+    own = ((b"".join([digest(j[s:e], SEED) for s, e in zip(starts, ends, strict=True)]), len(starts)) for j, starts, ends in shingles(data, words))
+    return int.from_bytes(majority(own, 8), "big")
+
+
+#: Independent fingerprints of 64 bits that ``wide_fingerprint`` has.
+WIDE = 4
+
+
+def wide_fingerprint(data: bytes, words: int) -> np.ndarray:
+    """``WIDE`` independent SimHashes, from 128-bit hashes of each shingle."""
+    digest, seeds = xxhash.xxh3_128_digest, range(SEED, SEED + WIDE // 2)
+    own = ((b"".join([digest(j[s:e], k) for s, e in zip(starts, ends, strict=True) for k in seeds]), len(starts)) for j, starts, ends in shingles(data, words))
+    return np.frombuffer(majority(own, 8 * WIDE), ">i8").astype(np.int64)
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -193,11 +218,42 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row of each group of ``docs``, with all its columns: the one of least key
-    (null keys last), then of least hash of key and text; of equal rows any one."""
+def near_copy_groups(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """doc_id and component_id of every row, linked where any of ``WIDE`` independent
+    fingerprints is within ``radius``: each has its own grid join, and the odds that
+    near copies differ by more in all of them are the product of the odds in one.
+
+    Nodes are sets of equal fingerprints (texts with equal shingles) and the classes of
+    each single fingerprint; classes of one node without links add no edge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [wide_fingerprint(t.as_py().encode(), words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
+
+    small_batches(docs.sparkSession)
+    fps = written(keyed_text(docs).mapInArrow(run, "doc_id long, fps array<bigint>"), "simhash")
+    wide = written(fps.groupBy("fps").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fps")), "simhash-wide")
+    edges = []
+    for i in range(WIDE):
+        own = wide.select("node", F.col("fps")[i].alias("fp"))
+        classes = written(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "simhash-classes")
+        found = written(links(classes.select("fp"), radius), "simhash-links")
+        name = lambda c, i=i: F.xxhash64(F.lit(i), c)
+        edges.append(found.select(name("a").alias("a"), name("b").alias("b")))
+        ends = found.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(classes.where("n > 1").select("fp")).distinct()
+        edges.append(own.join(ends, "fp", "left_semi").select(F.col("node").alias("a"), name("fp").alias("b")))
+    found = components(reduce(DataFrame.unionByName, edges))
+    rooted = wide.join(found, "node", "left").select("fps", "least", F.coalesce("root", "node").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(rooted.join(ids, "root").select("fps", "component_id"), "fps").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
+    """One row of each group of near copies in ``docs``, with all its columns: the one of
+    least key (null keys last), then of least hash of key and text; of equal rows any."""
     tag = F.xxhash64("doc_id", "text")
-    groups = simhash_groups(docs.select(tag.alias("doc_id"), "text"), words, radius)
+    groups = near_copy_groups(docs.select(tag.alias("doc_id"), "text"), words, radius)
     keys = docs.select(tag.alias("tag"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), tag.alias("t")).alias("key")).distinct()
     best = keys.join(groups.select(F.col("doc_id").alias("tag"), "component_id").distinct(), "tag").groupBy("component_id").agg(F.min("key").alias("key"))
     chosen = best.select(F.col("key.t").alias("__tag"))
