@@ -33,7 +33,8 @@ def top_degrees(edges: DataFrame, k: int) -> DataFrame:
 
 
 def quantile(c: str, p: float) -> Column:
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})")
+    """The p-quantile of a column of counts: one of them."""
+    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})").cast("long")
 
 
 def hub_tiers(edges: DataFrame, p: float = 0.99) -> DataFrame:

@@ -178,7 +178,7 @@ def isa(spark, sf):
     return DEMO.isa(spark)
 
 
-@query("grounded_numbers", "R35 F29", "SELECT o_orderkey, 0.5 AS grounded FROM orders")
+@query("grounded_numbers", "R35 F29", "SELECT o_orderkey, CAST(0.5 AS DOUBLE) AS grounded FROM orders")
 def grounded(spark, sf):
     said = F.array(F.col("o_totalprice"), F.lit(-1.0))
     return table(spark, sf, "orders").select("o_orderkey", c.grounded_numbers(said, F.array(F.col("o_totalprice") * 1.001)).alias("grounded"))

@@ -133,7 +133,7 @@ def lanes(spark, sf):
     return e.route_margin(s, 4.0)
 
 
-@query("replica_choice", "J15", "SELECT 'b' AS name, 2.0 AS lag")
+@query("replica_choice", "J15", "SELECT 'b' AS name, CAST(2.0 AS DOUBLE) AS lag")
 def replicas(spark, sf):
     rows = spark.createDataFrame([("a", 1.0, False), ("b", 2.0, True), ("c", 2.0, True), ("d", 9.0, True)], "name string, lag double, healthy boolean")
     return e.replica(rows, 5.0).select("name", "lag")

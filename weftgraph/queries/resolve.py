@@ -96,7 +96,7 @@ def _proxies(spark, sf):
     return p.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(", Inc.")).alias("name")).union(p.where("p_partkey % 40 = 1").select("p_partkey", F.concat(F.lit("The "), F.split("p_name", " ")[0])))
 
 
-@query("er_candidates", "W18 F5 F6", f"WITH {NAMES} SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CASE WHEN x.k = y.k THEN 1.0 ELSE 0.9 END AS score FROM n x JOIN n y ON x.id < y.id AND (x.k = y.k OR starts_with(x.k, y.k || ' ') OR starts_with(y.k, x.k || ' '))")
+@query("er_candidates", "W18 F5 F6", f"WITH {NAMES} SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CAST(CASE WHEN x.k = y.k THEN 1.0 ELSE 0.9 END AS DOUBLE) AS score FROM n x JOIN n y ON x.id < y.id AND (x.k = y.k OR starts_with(x.k, y.k || ' ') OR starts_with(y.k, x.k || ' '))")
 def candidates(spark, sf):
     return r.candidate_pairs(_proxies(spark, sf))
 
