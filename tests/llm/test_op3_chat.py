@@ -47,6 +47,19 @@ def test_query_equals_brute_force(spark, turns, tmp_path):
     assert got == want
 
 
+def test_sql_agrees_on_many_windows(spark, turns, tmp_path):
+    import duckdb
+
+    d = f"{tmp_path}/conversations.parquet"
+    turns.where("conv_id is not null").select("conv_id", "turn", "role", "text").write.parquet(d)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{d}/*.parquet')")
+    got = c.execute(op.SQL)
+    names = [x[0] for x in got.description]
+    want = sorted(tuple(r[n] for n in names) for r in op.op3_chat(spark, str(tmp_path)).collect())
+    assert sorted(got.fetchall()) == want
+
+
 def test_windows(turns):
     """Budget, system turn, limited history, one loss for each target, template."""
     seen, longest = {}, 0

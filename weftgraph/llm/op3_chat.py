@@ -86,6 +86,25 @@ def read_turns(formatted: DataFrame) -> DataFrame:
     return spans.select("conv_id", F.col("s.ord").alias("ord"), F.col("s.role").alias("role"), text.alias("text"), F.col("s.loss").alias("loss"))
 
 
+#: The query in SQL (DuckDB). Windows follow from prefix sums, so SQL can express them.
+SQL = f"""WITH raw AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS ord,
+  len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]')) + {OVERHEAD} AS tokens FROM raw),
+l AS (SELECT *, ord = 1 AND role = 'system' AS head FROM o),
+b AS (SELECT *, CAST(SUM(CASE WHEN head THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY ord ROWS UNBOUNDED PRECEDING) - CASE WHEN head THEN 0 ELSE tokens END AS BIGINT) AS before FROM l),
+p AS (SELECT *, before // {STRIDE} AS win,
+  {len(START) + 1 + len(END)} + length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS chars FROM b),
+u AS (SELECT conv_id, win, lead(begins) OVER (PARTITION BY conv_id ORDER BY win) AS next_begins FROM (SELECT conv_id, win, MIN(CASE WHEN NOT head THEN before END) AS begins FROM p GROUP BY 1, 2)),
+f AS (SELECT p.conv_id, SUM(chars * (1 + CASE WHEN NOT head AND next_begins - before <= {HISTORY} THEN 1 ELSE 0 END + CASE WHEN head THEN (SELECT COUNT(*) FROM u x WHERE x.conv_id = p.conv_id AND x.win > 0) ELSE 0 END)) AS n
+  FROM p JOIN u ON u.conv_id = p.conv_id AND u.win = p.win GROUP BY p.conv_id),
+t AS (SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
+  COALESCE(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY ord), '') AS target FROM o GROUP BY conv_id)
+SELECT t.conv_id, n_turns, turns_sha256, length(target) AS loss_chars, sha256(target) AS loss_sha256, CAST(f.n AS BIGINT) AS formatted_chars FROM t JOIN f ON f.conv_id = t.conv_id"""
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted, written, read back, digested."""
     probe = "<|im_end|><|im_start|>assistant ok"

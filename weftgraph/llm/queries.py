@@ -5,6 +5,7 @@ from __future__ import annotations
 from .op10_media import op10_media
 from .op1_token_index import op1_token_index
 from .op2_quality import op2_quality
+from .op3_chat import SQL as OP3_SQL
 from .op3_chat import op3_chat
 from .op4_spotsigs import op4_spotsigs
 from .op5_license import op5_license
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL}
