@@ -188,7 +188,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
 
 
 def projection_bytes(nodes: int, edges: int, heap: int, share: float = 0.3) -> dict:
-    """The memory that an in-memory projection would take, and whether it may be made."""
+    """The memory that an in-memory projection would take, and whether it may be made."""
     low, high = 24 * nodes + 16 * edges, 40 * nodes + 32 * edges
     return {"bytes_min": low, "bytes_max": high, "allowed": high <= share * heap}
 
