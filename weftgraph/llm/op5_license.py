@@ -201,6 +201,27 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, base: di
     return keyed_text(docs).mapInArrow(run, SCAN)
 
 
+def sql(templates: list[tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE, threshold: float = THRESHOLD) -> str:
+    """The query in SQL (DuckDB), without filters: every block against every template."""
+    words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    listed = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    known = ", ".join(f"('{label}', {listed(sorted(w.decode() for w in t))})" for (label, _), t in zip(templates, template_tokens(templates), strict=True))
+    said = ", ".join(f"('{label}', {listed(p.split())})" for p, label in base.items())
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, doc_id, regexp_extract_all(t, '{words}') AS ws FROM d),
+p(label, ps) AS (VALUES {said}),
+places AS (SELECT rid, label, i - 1 AS word FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) x, p WHERE ws[i] = ps[1] AND ws[i:i + len(ps) - 1] = ps),
+lines AS (SELECT rid, regexp_extract_all(line, '{words}') AS ws FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) y),
+blocks AS (SELECT rid, list_distinct(ws[lo + 1:lo + {BLOCK}]) AS b FROM (SELECT rid, ws, unnest(range(0, greatest(1, len(ws) - {BLOCK // 2}), {BLOCK // 2})) AS lo FROM lines WHERE len(ws) > 0) z),
+k(label, ts) AS (VALUES {known}),
+met AS (SELECT rid, label, len(list_intersect(b, ts)) / len(ts) AS c FROM blocks, k WHERE len(list_intersect(b, ts)) >= ceil({threshold} * len(ts) - 1e-9)),
+pb AS (SELECT rid, COUNT(*) AS n, MIN(word) AS lo, MAX(word) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY rid),
+mb AS (SELECT rid, COUNT(*) AS n, MAX(c) AS c FROM met GROUP BY rid),
+l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM places UNION SELECT rid, label FROM met) GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, COALESCE(pb.n, 0) AS n_base, lo AS first_word, hi AS last_word, COALESCE(pb.labels, '') AS base_labels, COALESCE(l.labels, '') AS labels, CASE WHEN pb.n > 0 THEN 1.0::DOUBLE ELSE COALESCE(mb.c, 0.0::DOUBLE) END AS score, COALESCE(mb.n, 0) AS n_blocks
+FROM w LEFT JOIN pb USING (rid) LEFT JOIN mb USING (rid) LEFT JOIN l USING (rid)"""
+
+
 def op5_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: words, base places and labels, the join's labels and score."""
     got = scan(table(spark, sf_dir, "documents"))

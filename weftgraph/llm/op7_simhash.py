@@ -24,7 +24,6 @@ Repeated rows are each returned. An empty table gives no rows."""
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import accumulate, combinations
 from math import comb
 
@@ -166,25 +165,29 @@ def forest(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Verified links (a, b) between distinct fingerprints ``fp`` that connect exactly
-    what is within ``radius``: a spanning forest for each cell or pair of blocks."""
-    n = classes.count()
-    masks = cell_masks(groups_needed(n, radius), radius)
+    what is within ``radius``: a spanning forest for each cell or pair of blocks.
+
+    With a column ``family`` (below ``WIDE``) fingerprints meet within their family only,
+    all families in one pass, and links carry it."""
+    many = "family" in classes.columns
+    own = classes.select("fp", (F.col("family") if many else F.lit(0)).cast("int").alias("family"))
+    masks = cell_masks(groups_needed(own.count() // (WIDE if many else 1), radius), radius)
     x, half = F.col("fp"), F.shiftrightunsigned("fp", 1)
     odd = F.lit(ODD)
     unary = x.bitwiseOR(half).bitwiseAND(odd).bitwiseOR(F.shiftleft(x.bitwiseAND(half).bitwiseAND(odd), 1))
-    named = classes.select("fp", unary.alias("t"))
-    cells = named.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("t").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"))
+    named = own.select("fp", "family", unary.alias("t"))
+    cells = named.select("fp", "family", F.explode(F.array(*[F.xxhash64("family", F.lit(i), F.col("t").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int")
-    dealt = cells.join(sizes, "cell").withColumn("own", own)
+    block = F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int")
+    dealt = cells.join(sizes, "cell").withColumn("own", block)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j")))
-    lists = dealt.select("fp", "cell", F.inline(pairs)).groupBy("cell", "i", "j").agg(F.collect_list("fp").alias("fps"))
+    lists = dealt.select("fp", "family", "cell", F.inline(pairs)).groupBy("cell", "family", "i", "j").agg(F.collect_list("fp").alias("fps"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(0)
             flat, off = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate(([0], np.cumsum(np.diff(col.offsets.to_numpy()))))
-            size, a, b = np.diff(off), [], []
+            size, a, b, of = np.diff(off), [], [], []
             todo = np.flatnonzero(size > 64).tolist()
             for s in np.unique(size[(size > 1) & (size <= 64)]):
                 rows = np.flatnonzero(size == s)
@@ -202,10 +205,12 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 for i, j in forest(x, radius):
                     a.append(x[i])
                     b.append(x[j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], ["a", "b"])
+                    of.append(g)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), batch.column(1).take(pa.array(of, pa.int64()))], ["a", "b", "family"])
 
     small_batches(classes.sparkSession, 1024)
-    return lists.select("fps").mapInArrow(verify, "a long, b long")
+    found = lists.select("fps", "family").mapInArrow(verify, "a long, b long, family int")
+    return found if many else found.drop("family")
 
 
 def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -234,16 +239,13 @@ def near_copy_groups(docs: DataFrame, words: int, radius: int) -> DataFrame:
     small_batches(docs.sparkSession)
     fps = written(keyed_text(docs).mapInArrow(run, "doc_id long, fps array<bigint>"), "simhash")
     wide = written(fps.groupBy("fps").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fps")), "simhash-wide")
-    edges = []
-    for i in range(WIDE):
-        own = wide.select("node", F.col("fps")[i].alias("fp"))
-        classes = written(own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "simhash-classes")
-        found = written(links(classes.select("fp"), radius), "simhash-links")
-        name = lambda c, i=i: F.xxhash64(F.lit(i), c)
-        edges.append(found.select(name("a").alias("a"), name("b").alias("b")))
-        ends = found.select(F.explode(F.array("a", "b")).alias("fp")).unionByName(classes.where("n > 1").select("fp")).distinct()
-        edges.append(own.join(ends, "fp", "left_semi").select(F.col("node").alias("a"), name("fp").alias("b")))
-    found = components(reduce(DataFrame.unionByName, edges))
+    each = wide.select("node", F.posexplode("fps").alias("family", "fp"))
+    classes = written(each.groupBy("family", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-classes")
+    near = written(links(classes.select("family", "fp"), radius), "simhash-links")
+    name = lambda c: F.xxhash64(F.col("family"), F.col(c))
+    ends = near.select("family", F.explode(F.array("a", "b")).alias("fp")).unionByName(classes.where("n > 1").select("family", "fp")).distinct()
+    members = each.join(ends, ["family", "fp"], "left_semi").select(F.col("node").alias("a"), name("fp").alias("b"))
+    found = components(near.select(name("a").alias("a"), name("b").alias("b")).unionByName(members))
     rooted = wide.join(found, "node", "left").select("fps", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(rooted.join(ids, "root").select("fps", "component_id"), "fps").select("doc_id", "component_id")

@@ -9,6 +9,7 @@ from .op3_chat import SQL as OP3_SQL
 from .op3_chat import op3_chat
 from .op4_spotsigs import op4_spotsigs
 from .op5_license import op5_license
+from .op5_license import sql as op5_sql
 from .op6_language import op6_language
 from .op7_simhash import op7_simhash
 from .op8_bpe import op8_bpe
@@ -26,4 +27,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op5_license": op5_sql()}
