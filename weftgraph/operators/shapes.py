@@ -68,15 +68,18 @@ def text_anchor(mention: str, *cols: str) -> Column:
 
 def anchor(nodes: DataFrame, mention: str) -> Column:
     """One word that fits a typed key is an equality, which is pushed to the scan;
-    anything else is a text anchor."""
+    anything else is a text anchor. Where nodes have a key, ``Label:key`` means the key,
+    so the id, which may be computed, need not be."""
     if not mention:
         return F.lit(True)
     word = mention.strip().split(":")[-1]
     tests = []
     if " " not in mention.strip():
-        tests.append(F.col("id") == mention)
-        if word.lstrip("-").isdigit() and "key" in nodes.columns:
+        keyed = "key" in nodes.columns
+        if keyed and word.lstrip("-").isdigit():
             tests.append(F.col("key") == int(word))
+        if not keyed:
+            tests.append(F.col("id") == mention)
         tests.append(F.col("name") == mention)
     return reduce(Column.__or__, tests) if tests else text_anchor(mention, "name", "id")
 
