@@ -32,7 +32,7 @@ from .wordcache import encoder
 
 WINDOW = 2048
 #: Width of a length class.
-GRAIN = 16
+GRAIN = 8
 #: Most pieces in an enumerated combination.
 DEPTH = 3
 
