@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm import op2_quality, op6_language, op7_simhash, op9_packing
 from weftgraph.llm.common import small_batches, table, written
 
-#: Shingles of five words; of near copies' independent fingerprints some pair differs in
-#: at most six of 64 bits.
-WORDS, RADIUS = 5, 6
+#: Shingles of five words, of which near copies share four fifths (Jaccard, exact).
+WORDS = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of least doc_id."""
-    return op7_simhash.keep_one(docs, WORDS, RADIUS)
+    return op7_simhash.keep_one(docs, WORDS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -251,11 +251,13 @@ def near_copy_groups(docs: DataFrame, words: int, radius: int) -> DataFrame:
     return fps.join(rooted.join(ids, "root").select("fps", "component_id"), "fps").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 6) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """One row of each group of near copies in ``docs``, with all its columns: the one of
     least key (null keys last), then of least hash of key and text; of equal rows any."""
+    from .near_copies import near_copy_groups as exact_groups
+
     tag = F.xxhash64("doc_id", "text")
-    groups = near_copy_groups(docs.select(tag.alias("doc_id"), "text"), words, radius)
+    groups = exact_groups(docs.select(tag.alias("doc_id"), "text"), words)
     keys = docs.select(tag.alias("tag"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), tag.alias("t")).alias("key")).distinct()
     best = keys.join(groups.select(F.col("doc_id").alias("tag"), "component_id").distinct(), "tag").groupBy("component_id").agg(F.min("key").alias("key"))
     chosen = best.select(F.col("key.t").alias("__tag"))
