@@ -41,3 +41,20 @@ def test_empty_tables(empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert op.fit(empty, none).share == 0.5
     assert op.score(empty, op.fit(empty, none)).count() == 0
+
+
+def test_ten_bad_labels_are_learnt(spark):
+    """A class of few texts still gets a model; only a missing one gets none."""
+    rng = np.random.default_rng(4)
+    bad = lambda: " ".join(w + "$$$" for w in words(rng, 60).split())
+    for few in (10, 2):
+        rows = [(i, words(rng, 60)) for i in range(150)] + [(200 + i, bad()) for i in range(40)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(k, int(k < 200)) for k, _ in rows if k < 200 + few], "doc_id long, quality int")
+        model = op.fit(docs, labels, None)
+        got = {r.doc_id: r.score for r in op.score(docs, model).collect()}
+        assert model.dictionaries and len(set(got.values())) > 2
+        assert np.mean([(got[k] >= 0.5) == (k < 200) for k, _ in rows]) > 0.9
+        assert {r.doc_id for r in op.keep_good(docs, model).collect()} == {k for k in got if got[k] >= 0.5}
+    assert op.train((["a"], ["b"]), (1, 1)).dictionaries
+    assert op.train(([], ["b"] * 20), (5, 20)).dictionaries is None

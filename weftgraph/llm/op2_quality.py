@@ -13,8 +13,8 @@ else of a row.
 
 Null text counts as empty; an empty text has a score like any other. Null keys and
 repeated rows are kept. Labels without a text, null labels and repeated labels of a
-key (of which the least counts) are harmless. With a class missing from the labels,
-every score is the share of good ones (0.5 with none)."""
+key (of which the least counts) are harmless. With no text labelled with one of the
+classes, every score is the share of good ones (0.5 with none)."""
 
 from __future__ import annotations
 
@@ -36,6 +36,8 @@ BLOCK = 512
 LEVEL = 3
 DICTIONARY = 112_640
 FEATURES = 5
+#: A class of fewer texts is not halved but cross-fitted, in so many folds.
+FEW, FOLDS = 16, 5
 
 
 @dataclass(frozen=True)
@@ -84,19 +86,40 @@ def calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.01)
 def train(texts: tuple[list[str], list[str]], counts: tuple[int, int]) -> Model:
     """A model from sampled texts (bad, good) and the classes' counts over all rows."""
     share = counts[1] / max(1, sum(counts)) if sum(counts) else 0.5
-    halves = [(t[: len(t) // 2], t[len(t) // 2 :]) for t in texts]
-    blocks = [[d[i : i + BLOCK] for t in h[0] if (d := t.encode()) for i in range(0, len(d), BLOCK)] for h in halves]
-    if any(len(h[0]) < 8 for h in halves) or any(sum(map(len, b)) < 1000 for b in blocks):
+    if not all(texts):
         return Model(None, (), (), (), share)
-    dictionaries = tuple(_dictionary(b) for b in blocks)
-    pair = compressors(dictionaries)
-    x = np.array([features(t, pair) for h in halves for t in h[1]])
-    y = np.concatenate([np.full(len(h[1]), c) for c, h in enumerate(halves)])
-    w = np.where(y == 1, counts[1] / len(halves[1][1]), counts[0] / len(halves[0][1]))
+    halves = [(t[: len(t) // 2], t[len(t) // 2 :]) for t in texts]
+    if any(len(t) < FEW for t in texts) or any(sum(map(len, _blocks(h[0]))) < 1000 for h in halves):
+        dictionaries, seen = tuple(_dictionary(_blocks(t)) for t in texts), texts
+        x, y = _cross_fitted(texts)
+    else:
+        dictionaries, seen = tuple(_dictionary(_blocks(h[0])) for h in halves), [h[1] for h in halves]
+        pair = compressors(dictionaries)
+        x = np.array([features(t, pair) for own in seen for t in own])
+        y = np.concatenate([np.full(len(own), c) for c, own in enumerate(seen)])
+    w = np.where(y == 1, counts[1] / len(seen[1]), counts[0] / len(seen[0]))
     mean, scale, b = calibrate(x, y, w)
     return Model(dictionaries, tuple(mean), tuple(scale), tuple(b), share)
 
 
+def _blocks(texts: list[str]) -> list[bytes]:
+    return [d[i : i + BLOCK] for t in texts if (d := t.encode()) for i in range(0, len(d), BLOCK)]
+
+
+def _cross_fitted(texts: tuple[list[str], list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and classes of all texts, each under dictionaries without its own fold.
+    How far a text shrinks is left out (its weight stays 0): texts that a dictionary was
+    made of shrink far more, and would be judged by that."""
+    x, y = [], []
+    for k in range(FOLDS):
+        rest = [[t for i, t in enumerate(own) if i % FOLDS != k] or own for own in texts]
+        pair = compressors(tuple(_dictionary(_blocks(t)) for t in rest))
+        for c, own in enumerate(texts):
+            x += [[*features(t, pair)[:3], 0.0, 0.0] for t in own[k::FOLDS]]
+            y += [c] * len(own[k::FOLDS])
+    return np.array(x), np.array(y)
+
+
 def _dictionary(blocks: list[bytes]) -> bytes:
     """A trained dictionary; samples too small to train on serve as raw content."""
     size = min(DICTIONARY, sum(map(len, blocks)) // 4)
