@@ -5,8 +5,9 @@ Two texts are linked if the sets of their shingles' 64-bit hashes have a Jaccard
 similarity of NUM / DEN or more; groups are the components of these links. Nothing is
 lost and nothing below is linked:
 - equal sets are one node;
-- prefix filter: under any one order of all shingles, two sets that similar share one of
-  the first n - ceil(similarity n) + 1 of each. The order puts the shingles that a sample
+- prefix filter: under any one order of all shingles, two sets that similar share
+  ``COMMON`` (or, if that is less, ceil(similarity n) of the smaller) of the first
+  n - ceil(similarity n) + ``COMMON`` of each. The order puts the shingles that a sample
   of texts has seen often last, which keeps the lists of a shingle short; the sample
   changes the lists only, never the result;
 - length filter: the smaller set has at least that share of the larger one's size;
@@ -36,8 +37,10 @@ from .op7_simhash import SEED, shingles
 WORDS = 5
 #: The similarity that links, as a ratio.
 NUM, DEN = 4, 5
+#: Shingles that two prefixes must share; more than one spares most chance meetings.
+COMMON = 4
 #: One text in so many is sampled for the order, which has so many frequent shingles at most.
-EVERY, FREQUENT = 16, 1 << 17
+EVERY, FREQUENT = 8, 1 << 17
 #: Bits of the map by which texts that take part in some pair are read again.
 MAP = 1 << 23
 
@@ -50,7 +53,8 @@ def shingle_set(data: bytes, words: int = WORDS) -> np.ndarray:
 
 def prefix_length(n: int) -> int:
     """Of n shingles, how many of the first must be looked at."""
-    return n - (NUM * n + DEN - 1) // DEN + 1 if n else 0
+    least = (NUM * n + DEN - 1) // DEN
+    return n - least + min(COMMON, least)
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -148,20 +152,29 @@ def near_copy_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     each = rows.select("node", "n", F.explode("toks").alias("tok"))
     shared = each.groupBy("tok").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("tok", "a")
     lists = written(each.join(shared, "tok").select("tok", "node", "n", "a").distinct(), "lists")
-    fits = lambda x, y: F.least(x, y) * DEN >= F.greatest(x, y) * NUM
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """Of rows (a, b, n, m), one a common shingle, the pairs that pass the filters."""
+        low, high = F.least("n", "m"), F.greatest("n", "m")
+        needed = F.least(F.lit(COMMON), F.ceil(low * NUM / DEN))
+        long_enough = pairs.where(low * DEN >= high * NUM).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first(needed).alias("needed"))
+        return long_enough.where("common >= needed").select("a", "b")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = written(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")), "wanted")
+        return written(verified(pairs, written(sets_of(docs, wanted, words), "sets")), "links")
+
     first = lists.where("node = a").select("tok", F.col("n").alias("m"))
-    star = written(lists.where("node <> a").join(first, "tok").where(fits("n", "m")).select("a", F.col("node").alias("b")).distinct(), "star")
-    wanted = rows.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("h").alias("h"))
-    sets = written(sets_of(docs, wanted, words), "sets")
-    near = written(verified(star, sets), "links")
+    near = linked(met(lists.where("node <> a").select("tok", "a", F.col("node").alias("b"), "n").join(first, "tok")))
 
     found = components(near)
     rooted = written(lists.join(found, "node", "left").select("tok", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
     open_ = rooted.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tok")
-    some = rooted.join(open_, "tok", "left_semi")
+    some = written(rooted.join(open_, "tok", "left_semi"), "open")
     x, y = some.toDF("tok", "a", "n", "ra"), some.toDF("tok", "b", "m", "rb")
-    pairs = x.join(y, "tok").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & fits("n", "m")).select("a", "b").distinct()
-    rest = verified(pairs.join(star, ["a", "b"], "left_anti"), sets)
+    rest = linked(met(x.join(y, "tok").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")))))
     found = components(near.unionByName(rest))
 
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
