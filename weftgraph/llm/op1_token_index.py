@@ -1,18 +1,20 @@
 """Token-id binary output with a minimal perfect hash index (operator 1).
 
 ``write_index`` encodes documents in ascending key order and writes raw token ids
-as self-describing shard files; ``read_index`` scans them and ``lookup`` gives keyed
-access. A shard file holds one shard (all numbers little-endian):
+as self-describing shard files, and a manifest of their key ranges in that order;
+``read_index`` scans the files and ``lookup`` gives keyed access. A shard file holds one
+shard (all numbers little-endian):
 
-    magic "WTIX", u32 id width in bytes, u32 part, u32 spare, u64 n documents,
-    u64 n ids, u64 ids of the part before this shard,
+    magic "WTIX", u32 id width in bytes, u32 part, u32 null keys, u64 n documents,
+    u64 n ids, u64 ids of the part before this shard, i64 least key, i64 greatest key,
     i32 seeds[n], u32 fingerprints[n], u64 offsets[n], u64 lengths[n]   (hash slots)
     i64 keys[n], u8 null[n], u32 occurrence[n]                          (file order)
     payload: n ids x width bytes, and the writer's closing line end.
 
-A key hashes to a bucket, the bucket's seed sends it to a slot of its own, the
-slot's stored fingerprint rejects strangers, and the slot gives offset and length:
-constant time whatever the shard's size. The files are written by Spark's own text
+The manifest (path, least and greatest key, null keys of each shard) leads a key to its
+shard: no other is opened. There it hashes to a bucket, the bucket's seed sends it to a
+slot of its own, the slot's stored fingerprint rejects strangers, and the slot gives
+offset and length: constant time whatever the shard's size, and a shard is bounded. The files are written by Spark's own text
 writer (bytes pass through unchanged), so any file system that Spark can reach will
 do and its commit protocol leaves whole shards only, whatever executors are lost.
 
@@ -31,14 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, keyed_text, small_batches, table, written
+from .common import fresh_path, keyed_text, slices, table, written
 from .wordcache import encoder
 
 #: A shard is closed once it holds this many ids.
 SHARD_IDS = 4_000_000
 MAGIC = b"WTIX"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-HEAD = 4 + 12 + 24
+HEAD = 4 + 12 + 24 + 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,9 +99,12 @@ class Shard:
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
             raise ValueError("not a token shard")
-        self.width, self.part, _ = (int(x) for x in np.frombuffer(blob, "<u4", 3, 4))
+        self.width, self.part, self.nulls = (int(x) for x in np.frombuffer(blob, "<u4", 3, 4))
         n, self.n_ids, self.before = (int(x) for x in np.frombuffer(blob, "<u8", 3, 16))
+        self.least, self.greatest = (int(x) for x in np.frombuffer(blob, "<i8", 2, 40))
         at, self.n = HEAD, n
+        if len(blob) == HEAD:  # the head alone, for a manifest
+            return
         for name, kind in (("seeds", "<i4"), ("prints", "<u4"), ("offsets", "<u8"), ("lengths", "<u8"), ("keys", "<i8"), ("null", "u1"), ("occurrence", "<u4")):
             setattr(self, name, np.frombuffer(blob, kind, n, at))
             at += n * np.dtype(kind).itemsize
@@ -112,6 +117,12 @@ class Shard:
         slot = np.where(seed < 0, -1 - seed.astype(np.int64), _slot(h, np.maximum(seed, 0), self.n))
         return np.where(self.prints[slot] == fingerprint(h), slot, -1)
 
+    def holds(self, key: int, null: bool, occurrence: int) -> bool:
+        """Whether the shard has so many of a key: keys stand in order, nulls first."""
+        own = self.keys[self.nulls :]
+        n = self.nulls if null else int(np.searchsorted(own, key, "right") - np.searchsorted(own, key, "left"))
+        return occurrence < n
+
     def ids(self, slot: int) -> np.ndarray:
         at = int(self.offsets[slot])
         return self.payload[at : at + int(self.lengths[slot])]
@@ -132,7 +143,9 @@ def pack_shard(part: int, before: int, keys: list[int | None], payloads: list[by
     offset = np.concatenate(([0], np.cumsum(length)[:-1])).astype(np.uint64)
     prints, offsets, lengths = np.zeros(n, "<u4"), np.zeros(n, "<u8"), np.zeros(n, "<u8")
     prints[slots], offsets[slots], lengths[slots] = fingerprint(h), offset, length
-    head = MAGIC + np.array([width, part, 0], "<u4").tobytes() + np.array([n, int(length.sum()), before], "<u8").tobytes()
+    known = key[null == 0]
+    ends = [known.min(), known.max()] if len(known) else [1, 0]
+    head = MAGIC + np.array([width, part, int(null.sum())], "<u4").tobytes() + np.array([n, int(length.sum()), before], "<u8").tobytes() + np.array(ends, "<i8").tobytes()
     return b"".join([head, seeds.astype("<i4").tobytes(), prints.tobytes(), offsets.tobytes(), lengths.tobytes(), key.astype("<i8").tobytes(), null.tobytes(), occurrence.astype("<u4").tobytes(), *payloads])
 
 
@@ -152,7 +165,7 @@ def write_index(docs: DataFrame, tokenizer: str, path: str, end_id: int, spaces:
             before, held, keys, payloads = before + held, 0, [], []
             return pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = enc.encode(text.as_py()) + end
                 keys.append(key)
@@ -163,16 +176,23 @@ def write_index(docs: DataFrame, tokenizer: str, path: str, end_id: int, spaces:
         if keys:
             yield close()
 
-    small_batches(docs.sparkSession)
     order = ["doc_id", F.xxhash64("text")]
     rows = keyed_text(docs).repartitionByRange(*order).sortWithinPartitions(*order)
     blobs = rows.mapInArrow(encode, "blob binary").select(F.col("blob").cast("string").alias("value"))
-    blobs.write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
+    blobs.write.option("maxRecordsPerFile", 1).option("compression", "none").text(f"{path}/shards")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [Shard(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([getattr(s, f) for s in own], pa.int64()) for f in ("least", "greatest", "nulls"))], ["path", "least", "greatest", "nulls"])
+
+    found = _files(docs.sparkSession, f"{path}/shards").select("path", F.substring("content", 1, HEAD).alias("head"))
+    # one row a shard, in order of keys, so that a look-up reads few pages of it
+    found.mapInArrow(heads, "path string, least long, greatest long, nulls long").sort("least", "path").write.parquet(f"{path}/manifest")
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1))
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -180,7 +200,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     occurrence, at (ids of the part before it), n_tokens, ids (u32 little-endian)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows=1):
             for blob in batch.column(0):
                 shard = Shard(blob.as_buffer().to_pybytes())
                 slots = shard.find(shard.keys, shard.null, shard.occurrence)
@@ -193,30 +213,46 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     ids = pa.array([shard.ids(x).astype("<u4").tobytes() for x in s], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), shard.part)), keys, pa.array(shard.occurrence[lo : lo + 1000].astype(np.int64)), at, pa.array(shard.lengths[s].astype(np.int64)), ids], ["part", "doc_id", "occurrence", "at", "n_tokens", "ids"])
 
-    small_batches(spark, 1)
-    return _files(spark, path).mapInArrow(scan, "part long, doc_id long, occurrence long, at long, n_tokens long, ids binary")
+    return _files(spark, f"{path}/shards").select("content").mapInArrow(scan, "part long, doc_id long, occurrence long, at long, n_tokens long, ids binary")
+
 
+def shards_of(spark: SparkSession, path: str, keys: list[int | None]) -> list[str]:
+    """The files that may hold the keys, by the manifest."""
+    known = sorted({k for k in keys if k is not None})
+    wanted = F.lit(None in keys) & (F.col("nulls") > 0)
+    if known:
+        inside = F.exists(F.lit(np.array(known, np.int64)), lambda k: k.between(F.col("least"), F.col("greatest")))
+        wanted |= F.col("least").isNotNull() & (F.col("least") <= known[-1]) & (F.col("greatest") >= known[0]) & inside
+    return [r["path"] for r in spark.read.parquet(f"{path}/manifest").where(wanted).select("path").collect()]
 
-def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
-    """Keyed access: doc_id and ids (u32 little-endian) of a stated list of keys, by
-    one constant-time probe of each shard's index. Unknown keys give no row."""
-    wanted = np.array(sorted(set(keys)), np.int64)
+
+def lookup(spark: SparkSession, path: str, keys: list[int | None]) -> DataFrame:
+    """Keyed access: doc_id and ids (u32 little-endian) of a stated list of keys, by one
+    constant-time probe of the index of each shard whose range has the key; other shards
+    are not read. Unknown keys give no row, repeated keys one a document."""
+    wanted = sorted(set(keys), key=lambda k: (k is not None, k or 0))
+    key = np.array([k or 0 for k in wanted], np.int64)
+    null = np.array([k is None for k in wanted], np.uint8)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows=1):
             for blob in batch.column(0):
                 shard = Shard(blob.as_buffer().to_pybytes())
-                occurrence = 0
-                left = wanted
+                left, occurrence = np.arange(len(key)), 0
                 while len(left):
-                    slots = shard.find(left, np.zeros(len(left), np.uint8), np.full(len(left), occurrence))
-                    left, slots = left[slots >= 0], slots[slots >= 0]
+                    slots = shard.find(key[left], null[left], np.full(len(left), occurrence))
+                    ok = np.flatnonzero(slots >= 0)
+                    # a stranger may share a slot's fingerprint: the stored key decides
+                    ok = ok[[shard.holds(int(key[left[i]]), bool(null[left[i]]), occurrence) for i in ok]] if len(ok) else ok
+                    left, slots = left[ok], slots[ok]
                     if len(left):
-                        yield pa.RecordBatch.from_arrays([pa.array(left), pa.array([shard.ids(x).astype("<u4").tobytes() for x in slots], pa.binary())], ["doc_id", "ids"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key[left], pa.int64(), mask=null[left].astype(bool)), pa.array([shard.ids(x).astype("<u4").tobytes() for x in slots], pa.binary())], ["doc_id", "ids"])
                     occurrence += 1
 
-    small_batches(spark, 1)
-    return _files(spark, path).mapInArrow(probe, "doc_id long, ids binary")
+    files = shards_of(spark, path, keys)
+    if not files:
+        return spark.createDataFrame([], "doc_id long, ids binary")
+    return _files(spark, files).select("content").mapInArrow(probe, "doc_id long, ids binary")
 
 
 def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
