@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -63,7 +64,9 @@ def test_sql_agrees_on_many_windows(spark, turns, tmp_path):
 def test_windows(turns):
     """Budget, system turn, limited history, one loss for each target, template."""
     seen, longest = {}, 0
-    for w in op.windows(turns).collect():
+    found = op.windows(turns).collect()
+    heads = {w.conv_id: len(re.findall(r"\w+|[^\s\w]", w.text[s.start : s.start + s.length])) + op.OVERHEAD for w in found for s in w.spans if s.ord == 1 and s.role == "system"}
+    for w in found:
         at = 0
         for s in w.spans:
             head = op.START + s.role.replace("\\", "\\\\").replace("<|", "<\\|") + "\n"
@@ -73,14 +76,37 @@ def test_windows(turns):
             seen.setdefault((w.conv_id, s.ord), []).append((w.window, s.new, s.loss))
             assert not s.loss or (s.new and s.role == "assistant")
         assert at == len(w.text)
-        if w.conv_id is not None and w.conv_id % 3 == 0 and w.conv_id < 40:
+        head = heads.get(w.conv_id)
+        if head and head <= op.BUDGET - 2 * op.HISTORY and w.n_tokens + head <= op.BUDGET:
             assert w.spans[0].role == "system"
         old = [s for s in w.spans if not s.new and s.role != "system"]
         assert sum(len(w.text[s.start : s.start + s.length].split()) for s in old) <= op.HISTORY
+        assert w.n_tokens <= op.BUDGET or len(w.spans) == 1
         longest = max(longest, w.n_tokens)
     assert all(sum(new for _, new, _ in x) == 1 for x in seen.values())
     assert any(len(x) > 1 for x in seen.values())
-    assert longest <= op.BUDGET + 900
+    assert op.STRIDE < longest <= op.BUDGET
+
+
+def test_no_window_exceeds_the_budget(spark):
+    """Turns of every length against short, long and too long system turns; a turn that
+    alone exceeds the budget stands alone, whole, and once."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for c in range(60):
+        head = [0, 5, 440, 600, 760, 900, 3000][c % 7]
+        sizes = [int(rng.choice([1, 30, 200, 440, 700, 900, 1015, 1020, 1021, 6000])) for _ in range(12)]
+        rows += [(c, 0, "system", "s " * head)] * (head > 0)
+        rows += [(c, t + 1, ["user", "assistant"][t % 2], "w " * n) for t, n in enumerate(sizes)]
+    seen, whole = set(), 0
+    for w in op.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        assert w.n_tokens <= op.BUDGET or len(w.spans) == 1
+        whole += w.n_tokens > op.BUDGET
+        new = [(w.conv_id, s.ord) for s in w.spans if s.new]
+        assert new and seen.isdisjoint(new)
+        seen.update(new)
+        assert w.n_tokens == sum(len(w.text[s.start : s.start + s.length].split()) + op.OVERHEAD for s in w.spans)
+    assert len(seen) == len(rows) and whole
 
 
 def test_empty_table(spark):

@@ -5,13 +5,19 @@ texts a backslash is doubled and ``<|`` becomes ``<\\|``, so no control string o
 text survives and unescaping gives it back exactly.
 
 A turn's tokens are its words, marks and ``OVERHEAD`` for the template. Prefix sums of
-the tokens cut a conversation at turns: window w has the turns that begin within its
-stride. A window also opens with the conversation's leading system turn and repeats
-the turns before it that begin at most ``HISTORY`` tokens earlier. Budget = stride +
-history + room for a system turn and for the last turn to run over; a turn that is
-longer than that room stands whole in an over-long window (``n_tokens`` says so), as
-turns are never cut. Only assistant turns are targets, each in the one window where
-it is new; repeated turns are masked.
+the tokens cut a conversation at turns: the turns that begin within one stride share a
+window. A window also opens with the conversation's leading system turn and repeats
+turns of the window before it, those that begin at most ``HISTORY`` tokens earlier.
+
+No window exceeds ``BUDGET`` tokens, but that of a single turn which alone does: such a
+turn stands whole and alone, as turns are never cut. History is shortened first; if the
+last turn of a stride, which may run over it, still does not fit, it has a window of its
+own; if the system turn does not fit beside a single turn, that window goes without. The
+stride is ``STRIDE``, or what a long system turn leaves; a system turn that leaves less
+than ``HISTORY`` is a turn like any other and not repeated.
+
+Only assistant turns are targets, each in the one window where it is new; repeated turns
+are masked.
 
 Rows of a conversation are ordered by turn, role and text (nulls first); repeated rows
 are turns of their own. A null text or role is empty. Rows with a null conv_id form
@@ -22,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import picked, table, written
 
 BUDGET = 1024
 STRIDE = 448
@@ -41,30 +47,38 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
+def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY, budget: int = BUDGET) -> DataFrame:
     """conv_id, window, text, n_tokens and spans: for each turn of the window its
     ordinal, role, place of the escaped text in ``text``, and whether it is new and
     under the loss."""
-    if history > stride:
-        raise ValueError("history may not exceed the stride")
-    own = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if not 0 < history <= stride or stride + history > budget:
+        raise ValueError("history may not exceed the stride, nor both the budget")
+    own = picked(turns, "conv_id", "turn", "role", "text").select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     by_conv = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    own = own.withColumn("tokens", F.regexp_count("text", F.lit(TOKEN)) + OVERHEAD).withColumn("ord", F.row_number().over(by_conv).cast("long"))
-    lead = (F.col("ord") == 1) & (F.col("role") == "system")
-    in_order = Window.partitionBy("conv_id").orderBy("ord")
-    spent = F.sum(F.when(lead, 0).otherwise(F.col("tokens"))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.when(lead, 0).otherwise(F.col("tokens"))
-    own = own.withColumn("lead", lead).withColumn("before", spent).withColumn("window", F.floor(F.col("before") / stride))
-    # windows that have a turn of their own, each with where the one after it begins
-    used = own.groupBy("conv_id", "window").agg(F.min(F.when(~F.col("lead"), F.col("before"))).alias("begins"))
-    used = used.select("conv_id", "window", "begins", F.lead("window").over(Window.partitionBy("conv_id").orderBy("window")).alias("next"), F.lead("begins").over(Window.partitionBy("conv_id").orderBy("window")).alias("next_begins"))
-    w = used.select(F.col("conv_id").alias("w_conv"), F.col("window").alias("w_window"), "next", "next_begins")
+    own = own.withColumn("tokens", (F.regexp_count("text", F.lit(TOKEN)) + OVERHEAD).cast("long")).withColumn("ord", F.row_number().over(by_conv).cast("long"))
+    lead = (F.col("ord") == 1) & (F.col("role") == "system") & (F.col("tokens") <= budget - 2 * history)
+    in_order = Window.partitionBy("conv_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("lead", lead).withColumn("spent", F.when(F.col("lead"), 0).otherwise(F.col("tokens")))
+    # the leading system turn, if there is one, is the first row of its conversation
+    own = own.withColumn("before", F.sum("spent").over(in_order) - F.col("spent")).withColumn("system", F.max(F.when(F.col("lead"), F.col("tokens")).otherwise(0)).over(in_order))
+    own = own.withColumn("step", F.least(F.lit(stride), budget - history - F.col("system"))).withColumn("bin", F.floor(F.col("before") / F.col("step")))
+    whole = F.sum("spent").over(Window.partitionBy("conv_id", "bin"))
+    over = F.col("before") + F.col("spent") > (F.col("bin") + 1) * F.col("step")
+    own = own.withColumn("whole", whole).withColumn("window", 2 * F.col("bin") + F.when(over & (F.col("system") + F.col("whole") > budget), 1).otherwise(0))
+    # windows that have a turn of their own, each with what the one after it has room for
+    used = own.groupBy("conv_id", "window").agg(F.min(F.when(~F.col("lead"), F.col("before"))).alias("begins"), F.sum("spent").alias("fresh"), F.max("system").alias("system"))
+    used = used.withColumn("beside", F.when(F.col("system") + F.col("fresh") <= budget, F.col("system")).otherwise(0))
+    used = used.withColumn("room", F.least(F.lit(history), budget - F.col("fresh") - F.col("beside")))
+    following = Window.partitionBy("conv_id").orderBy("window")
+    used = used.select("conv_id", "window", "beside", F.lead("window").over(following).alias("next"), (F.lead("begins").over(following) - F.lead("room").over(following)).alias("repeats_from"))
+    w = used.select(F.col("conv_id").alias("w_conv"), F.col("window").alias("w_window"), "next", "repeats_from")
     placed = own.join(w, F.col("conv_id").eqNullSafe(F.col("w_conv")) & (F.col("window") == F.col("w_window")))
-    again = F.when(~F.col("lead") & (F.col("next_begins") - F.col("before") <= history), F.col("next"))
+    again = F.when(~F.col("lead") & (F.col("before") >= F.col("repeats_from")), F.col("next"))
     slots = F.filter(F.array(F.struct(F.col("window").alias("at"), F.lit(True).alias("new")), F.struct(again.alias("at"), F.lit(False).alias("new"))), lambda s: s["at"].isNotNull())
     columns = ["conv_id", "ord", "role", "text", "tokens"]
     dealt = placed.select(*columns, F.inline(slots))
     heads = own.where("lead").select(*[F.col(c).alias(f"s_{c}") for c in columns])
-    later = used.where("window > 0").join(heads, F.col("conv_id").eqNullSafe(F.col("s_conv_id")))
+    later = used.where("window > 0 and beside > 0").join(heads, F.col("conv_id").eqNullSafe(F.col("s_conv_id")))
     dealt = dealt.unionByName(later.select(*[F.col(f"s_{c}").alias(c) for c in columns], F.col("window").alias("at"), F.lit(False).alias("new")))
     head, body = F.concat(F.lit(START), escape(F.col("role")), F.lit("\n")), escape(F.col("text"))
     dealt = dealt.select("conv_id", F.col("at").alias("window"), "ord", "role", "tokens", "new", head.alias("head"), body.alias("body"))
@@ -93,12 +107,16 @@ SQL = f"""WITH raw AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS ord,
   len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\s\\p{{L}}\\p{{N}}]')) + {OVERHEAD} AS tokens FROM raw),
-l AS (SELECT *, ord = 1 AND role = 'system' AS head FROM o),
-b AS (SELECT *, CAST(SUM(CASE WHEN head THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY ord ROWS UNBOUNDED PRECEDING) - CASE WHEN head THEN 0 ELSE tokens END AS BIGINT) AS before FROM l),
-p AS (SELECT *, before // {STRIDE} AS win,
-  {len(START) + 1 + len(END)} + length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS chars FROM b),
-u AS (SELECT conv_id, win, lead(begins) OVER (PARTITION BY conv_id ORDER BY win) AS next_begins FROM (SELECT conv_id, win, MIN(CASE WHEN NOT head THEN before END) AS begins FROM p GROUP BY 1, 2)),
-f AS (SELECT p.conv_id, SUM(chars * (1 + CASE WHEN NOT head AND next_begins - before <= {HISTORY} THEN 1 ELSE 0 END + CASE WHEN head THEN (SELECT COUNT(*) FROM u x WHERE x.conv_id = p.conv_id AND x.win > 0) ELSE 0 END)) AS n
+l AS (SELECT *, ord = 1 AND role = 'system' AND tokens <= {BUDGET - 2 * HISTORY} AS head FROM o),
+c AS (SELECT *, CASE WHEN head THEN 0 ELSE tokens END AS spent FROM l),
+b AS (SELECT *, CAST(SUM(spent) OVER (PARTITION BY conv_id ORDER BY ord ROWS UNBOUNDED PRECEDING) - spent AS BIGINT) AS before, MAX(CASE WHEN head THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS sys FROM c),
+g AS (SELECT *, before // step AS bin FROM (SELECT *, least({STRIDE}, {BUDGET - HISTORY} - sys) AS step FROM b)),
+p AS (SELECT *, 2 * bin + CASE WHEN before + spent > (bin + 1) * step AND sys + whole > {BUDGET} THEN 1 ELSE 0 END AS win,
+  {len(START) + 1 + len(END)} + length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS chars FROM (SELECT *, SUM(spent) OVER (PARTITION BY conv_id, bin) AS whole FROM g)),
+v AS (SELECT conv_id, win, MIN(CASE WHEN NOT head THEN before END) AS begins, SUM(spent) AS fresh, MAX(sys) AS sys FROM p GROUP BY 1, 2),
+x AS (SELECT *, CASE WHEN sys + fresh <= {BUDGET} THEN sys ELSE 0 END AS beside FROM v),
+u AS (SELECT conv_id, win, beside, lead(begins - least({HISTORY}, {BUDGET} - fresh - beside)) OVER (PARTITION BY conv_id ORDER BY win) AS repeats_from FROM x),
+f AS (SELECT p.conv_id, SUM(chars * (1 + CASE WHEN NOT head AND before >= repeats_from THEN 1 ELSE 0 END + CASE WHEN head THEN (SELECT COUNT(*) FROM u y WHERE y.conv_id = p.conv_id AND y.win > 0 AND y.beside > 0) ELSE 0 END)) AS n
   FROM p JOIN u ON u.conv_id = p.conv_id AND u.win = p.win GROUP BY p.conv_id),
 t AS (SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY ord)) AS turns_sha256,
   COALESCE(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY ord), '') AS target FROM o GROUP BY conv_id)
