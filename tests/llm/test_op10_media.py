@@ -12,12 +12,17 @@ def test_query_equals_brute_force(spark, sf_dir):
     rows = {}
     for r in op.op10_media(spark, sf_dir).collect():
         rows.setdefault(r.doc_id, []).append(r)
-    n = 0
+    n, seen = 0, {}
+    files = {(r.doc_id, hashlib.sha256(r.media).hexdigest(), len(r.media)) for r in op.encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
     for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         p = op.payload_of((d.text or "").encode())
         assert len(p) % 192 == 0 and p
         r = next(r for r in rows[d.doc_id] if r.payload_sha256 == hashlib.sha256(p).hexdigest())
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len((d.text or "").encode()), len(p), zlib.crc32(p[-16:]))
+        assert (d.doc_id, r.media_sha256, r.media_bytes) in files
+        coefs, frame = jpeg.decode(op.encode_payload(p))
+        assert r.feature == op.feature(jpeg.to_rgb(coefs, frame))
+        assert seen.setdefault(p, (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
         n += 1
     assert n == sum(map(len, rows.values()))
 
@@ -145,7 +150,16 @@ def test_inverse_transform():
     assert (jpeg.to_rgb([x], frame)[:, :, 0] == np.rint(want)[None, :]).all()
 
 
+def test_tensors_are_stored_and_read_back(spark, docs, tmp_path):
+    op.decode_media(op.encode_media(docs)).select("doc_id", "payload", "height", "width", "rgb").write.parquet(f"{tmp_path}/t")
+    for r in spark.read.parquet(f"{tmp_path}/t").collect():
+        assert len(r.rgb) == 3 * r.height * r.width
+        coefs, frame = jpeg.decode(op.encode_payload(bytes(r.payload)))
+        assert bytes(r.rgb) == jpeg.to_rgb(coefs, frame).tobytes()
+
+
 def test_empty_table_and_null_file(spark, empty):
     assert op.decode_media(op.encode_media(empty)).count() == 0
     row = op.decode_media(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")).first()
-    assert row.payload is None and row.feature is None
+    assert row.payload is None and row.rgb is None
+    assert op.features(op.decode_media(spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary"))).first().feature is None

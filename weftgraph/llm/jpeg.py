@@ -66,14 +66,14 @@ def _refine_bits(low: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def encode_420(blocks: np.ndarray, rows: int, cols: int, bands: tuple[tuple[int, int], ...] = ((1, 15), (16, 63))) -> bytes:
-    """A 4:2:0 progressive file from (rows * cols, 6, 64) coefficients in zigzag order
-    with magnitudes 128 to 255; quantizers are 1, so they come back as they are.
+def encode_420(blocks: np.ndarray, rows: int, cols: int, quantizer: int = 1, bands: tuple[tuple[int, int], ...] = ((1, 2), (3, 63))) -> bytes:
+    """A 4:2:0 progressive file from (rows * cols, 6, 64) quantized coefficients in zigzag
+    order with magnitudes 128 to 255; they come back as they are.
 
     Scans: all bits but the last (differences of DC; AC by band, for which every
     symbol is the same), then the last bit (DC; AC)."""
     v = blocks.astype(np.int64)
-    head = b"\xff\xd8" + _marker(0xDB, b"\0" + b"\1" * 64 + b"\1" + b"\1" * 64)
+    head = b"\xff\xd8" + _marker(0xDB, b"".join(bytes([i, *[quantizer] * 64]) for i in (0, 1)))
     size = (rows * 16).to_bytes(2, "big") + (cols * 16).to_bytes(2, "big")
     head += _marker(0xC2, b"\x08" + size + b"\x03\x01\x22\x00\x02\x11\x01\x03\x11\x01")
     head += _marker(0xC4, _dht(0x00, list(range(12)), 4) + _dht(0x10, [7], 1) + _dht(0x11, [n << 4 for n in range(15)], 4))
