@@ -11,11 +11,16 @@ The posterior of a language is the product of
 Missing evidence (null or empty) leaves the posterior unchanged. A row without a
 single letter is "und" (undetermined), with posterior 0, unless other evidence speaks.
 
-The text model is fitted on a bounded sample, at most ``SAMPLE`` documents of each of
-at most ``LANGUAGES`` labelled languages, texts of at most ``SAMPLE_CHARS``
-characters; the counts behind all other evidence cover every row.
+The text model is fitted on a bounded sample: of every labelled language at most
+``SAMPLE`` texts of at most ``SAMPLE_CHARS`` characters, or, where all are longer,
+``FEW`` of them. It takes 256 kB a language. The counts behind all other evidence cover
+every row.
 
-Null texts count as empty, null keys and repeated rows are kept, an empty table gives
+Hosts, domains, suffixes and declarations are joined with their counts by
+``spread_join``: rows of a value that many rows have, and rows without one, stay dealt
+over all tasks.
+
+Other columns of the rows ride along unread. Null texts count as empty, null keys and repeated rows are kept, an empty table gives
 no rows. Ties go to the language that sorts first. With no labelled text at all,
 every row is "und"."""
 
@@ -27,16 +32,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled_texts, small_batches, table, written
+from .common import picked, place_of, positional, row_key, sampled_texts, slices, spread_join, table, written
 
 SAMPLE = 500
 SAMPLE_CHARS = 20_000
-LANGUAGES = 64
+#: Texts of a language that has longer ones only.
+FEW = 4
 BUCKETS = 1 << 16
 #: Trigrams from which a text's own verdict counts as a vote.
 VOTE_GRAMS = 50
@@ -83,17 +88,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit_texts(by_language: dict[str, list[str]]) -> TextModel:
-    """Distributions from each language's first half, the temper from the second."""
-    languages = tuple(sorted(k for k, t in by_language.items() if len(t) > 1))
+    """Distributions from each language's first half, the temper from the second; a
+    language of one text has a distribution of it."""
+    languages = tuple(sorted(k for k, t in by_language.items() if t))
     counts = np.full((BUCKETS, len(languages)), 0.05)
     for j, k in enumerate(languages):
-        for text in by_language[k][: len(by_language[k]) // 2]:
+        for text in by_language[k][: max(1, len(by_language[k]) // 2)]:
             for g in grams(text):
                 counts[:, j] += np.bincount(g, minlength=BUCKETS)
     weights = np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32) if languages else np.zeros((BUCKETS, 0), np.float32)
     seen, truth = [], []
     for j, k in enumerate(languages):
-        for text in by_language[k][len(by_language[k]) // 2 :]:
+        for text in by_language[k][max(1, len(by_language[k]) // 2) :]:
             ll, n = likelihoods(text, weights)
             if n:
                 seen.append(ll)
@@ -108,23 +114,38 @@ def fit_texts(by_language: dict[str, list[str]]) -> TextModel:
 
 def fit(docs: DataFrame) -> TextModel:
     """The text model from a bounded sample of documents with a language label."""
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and lang <> '' and length(text) > 0")
-    own = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    short = rows.where(F.length("text") <= SAMPLE_CHARS).withColumn("h", F.xxhash64("lang", "text"))
-    texts = sampled_texts(short.select(F.col("lang").alias("cls"), "h"), short.select("h", "text"), SAMPLE, own)
-    return fit_texts(texts)
+    own = picked(docs, "lang", "text")
+    rows = own.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and lang <> '' and length(text) > 0").withColumn("h", F.xxhash64("lang", "text"))
+    short = F.length("text") <= SAMPLE_CHARS
+    # a row a language
+    counts = rows.groupBy("lang").agg(F.count_if(short).alias("n"), F.count(F.lit(1)).alias("all")).collect()
+    some = lambda of, size, n: sampled_texts(rows.where(of).select(F.col("lang").alias("cls"), "h"), rows.select("h", "text"), size, n)
+    texts = some(short, SAMPLE, {r["lang"]: r["n"] for r in counts if r["n"]})
+    long = {r["lang"]: r["all"] for r in counts if not r["n"]}
+    return fit_texts(texts | some(~short, FEW, long))
+
+
+READ = ["text", "markup", "url", "host"]
+FOUND = "host string, domain string, suffix string, declared string, ll array<double>, grams long, vote int"
+
+
+def schema_of(df: DataFrame, names: list[str]) -> str:
+    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
 
 
 def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
-    """Of rows (id, text, markup, url, host): id, host, domain, suffix, declared, ll
-    (log likelihood by language), grams, and vote (the text's verdict, if long)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model.weights)  # BUCKETS x LANGUAGES floats at most
+    """Of rows (text, markup, url, host, and any others): the others, host, domain, suffix,
+    declared, ll (log likelihood by language), grams, and vote (the text's verdict, if
+    long)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model.weights)  # 256 kB a language
+    kept = [c for c in rows.columns if c not in READ]
+    names = [*kept, *(f.split()[0] for f in FOUND.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for batch in batches:
+        for batch in slices(batches, len(kept)):
             out = []
-            for ident, text, markup, url, host in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for text, markup, url, host in zip(*(batch.column(len(kept) + i).to_pylist() for i in range(4)), strict=True):
                 declared = None
                 if markup is not None:
                     m = DECLARED.search(markup)
@@ -138,87 +159,94 @@ def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
                     domain, suffix = (".".join(labels[-2:]), labels[-1]) if len(labels) > 1 else (host, None)
                 ll, n = likelihoods(text or "", weights)
                 vote = int(np.argmax(ll)) if n >= VOTE_GRAMS and len(ll) else None
-                out.append((ident, host, domain or host, suffix, declared, ll.tolist(), n, vote))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.int64(), pa.int32())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "host", "domain", "suffix", "declared", "ll", "grams", "vote"])
+                out.append((host, domain or host, suffix, declared, ll.tolist(), n, vote))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
 
-    small_batches(rows.sparkSession)
-    wanted = rows.select(F.col("id").cast("long").alias("id"), "text", "markup", "url", "host")
-    return wanted.mapInArrow(run, "id long, host string, domain string, suffix string, declared string, ll array<double>, grams long, vote int")
+    return rows.select(*kept, *READ).mapInArrow(run, schema_of(rows, kept) + FOUND)
 
 
 def votes_by(ev: DataFrame, key: str, n: int) -> DataFrame:
-    """Votes of each value of ``key`` by language, as one array a value."""
+    """Of each value of ``key``: its votes by language as one array, and its rows."""
     counted = [F.sum((F.col("vote") == i).cast("double")) for i in range(n)]
-    return ev.where(F.col("vote").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.array(*counted).alias(f"n_{key}"))
+    counted = [F.coalesce(c, F.lit(0.0)) for c in counted]
+    return ev.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*counted).alias(f"n_{key}"), F.count(F.lit(1)).alias("rows"))
+
+
+def matrix(column: pa.ListArray, n: int) -> np.ndarray:
+    """Lists of n numbers as rows, nulls as zeros."""
+    out = np.zeros((len(column), n))
+    out[column.is_valid().to_numpy(zero_copy_only=False)] = column.drop_null().flatten().to_numpy().reshape(-1, n)
+    return out
+
+
+KEYS = ("host", "domain", "suffix", "declared")
 
 
 def fuse(ev: DataFrame, model: TextModel) -> DataFrame:
-    """id, lang, posterior, text_lang of every row of ``evidence``."""
+    """lang, posterior and text_lang of every row of ``evidence``, and what else it has."""
     n = len(model.languages)
+    kept = [c for c in ev.columns if c not in [f.split()[0] for f in FOUND.split(", ")]]
     if not n:
-        return ev.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"))
-    keys = ("host", "domain", "suffix", "declared")
-    total = ev.where("vote is not null").groupBy("vote").count().collect()  # a row a language
-    corpus = np.zeros(n)
-    for r in total:
-        corpus[r["vote"]] = r["count"]
-    joined = ev
-    for key in keys:
-        joined = joined.join(votes_by(ev, key, n), key, "left")
+        return ev.select(*kept, F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(None).cast("string").alias("text_lang"))
+    corpus, rows = np.zeros(n), 0
+    for r in ev.groupBy("vote").count().collect():  # a row a language
+        rows += r["count"]
+        if r["vote"] is not None:
+            corpus[r["vote"]] = r["count"]
+    joined = ev.withColumn("spread", F.xxhash64(*kept, "ll", "grams"))
+    for key in KEYS:
+        joined = spread_join(joined, votes_by(ev, key, n), key, "rows", rows, "spread")
     names, temper = np.array([*model.languages]), model.temper
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in frames:
-            if not len(df):
-                continue
-            own = np.zeros((len(df), n))
-            voted = df["vote"].notna().to_numpy()
-            own[np.flatnonzero(voted), df["vote"].to_numpy()[voted].astype(int)] = 1
-            counts = {k: np.stack([np.zeros(n) if x is None else np.asarray(x) for x in df[f"n_{k}"]]) for k in keys}
-            known = {k: df[k].notna().to_numpy() for k in keys}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, rows=4096):
+            col = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+            size, ll = batch.num_rows, matrix(col("ll"), n)
+            own, known = np.zeros((size, n)), {k: col(k).is_valid().to_numpy(zero_copy_only=False) for k in KEYS}
+            voted = col("vote").is_valid().to_numpy(zero_copy_only=False)
+            own[np.flatnonzero(voted), col("vote").drop_null().to_numpy()] = 1
+            counts = {k: matrix(col(f"n_{k}"), n) for k in KEYS}
             rest = np.maximum(corpus - own, 0)
-            base = (rest + 1) / (rest.sum(axis=1, keepdims=True) + n)
-            prior = base
+            prior = (rest + 1) / (rest.sum(axis=1, keepdims=True) + n)
             for k in ("suffix", "domain", "host"):
                 c = np.maximum(counts[k] - own, 0) * known[k][:, None]
                 prior = (c + ALPHA * prior) / (c.sum(axis=1, keepdims=True) + ALPHA)
-            z = np.stack(df["ll"].to_numpy()) * temper + np.log(prior)
+            z = ll * temper + np.log(prior)
             # the suffix is in the prior already; what the page declares is new evidence
             c = np.maximum(counts["declared"] - own, 0)
             share = (c.sum(axis=1, keepdims=True) + 1) / (rest.sum(axis=1, keepdims=True) + n)
             z += np.where(known["declared"][:, None], np.log((c + ALPHA * share) / (rest + ALPHA)), 0)
             p = softmax(z)
-            best = p.argmax(axis=1)
-            grams = df["grams"].to_numpy()
+            grams = col("grams").to_numpy()
             spoken = (grams > 0) | known["declared"] | known["suffix"]
-            text = np.where(grams > 0, names[np.stack(df["ll"].to_numpy()).argmax(axis=1)], None)
-            yield pd.DataFrame({"id": df["id"], "lang": np.where(spoken, names[best], "und"), "posterior": np.where(spoken, p.max(axis=1), 0.0), "text_lang": text})
+            lang = np.where(spoken, names[p.argmax(axis=1)], "und")
+            text = pa.array(names[ll.argmax(axis=1)], pa.string(), mask=grams <= 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(np.where(spoken, p.max(axis=1), 0.0)), text], [*kept, "lang", "posterior", "text_lang"])
 
-    wide = joined.select("id", *keys, "ll", "grams", "vote", *[f"n_{k}" for k in keys])
-    return wide.mapInPandas(run, "id long, lang string, posterior double, text_lang string")
+    wide = joined.select(*kept, *KEYS, "ll", "grams", "vote", *[f"n_{k}" for k in KEYS])
+    return wide.mapInArrow(run, schema_of(ev, kept) + "lang string, posterior double, text_lang string")
 
 
 def identify(rows: DataFrame, model: TextModel) -> DataFrame:
-    """id, lang, posterior and text_lang of rows (id, text, markup, url, host)."""
-    ev = written(evidence(rows, model), "language-evidence")
-    small_batches(rows.sparkSession, 4096)
-    return fuse(ev, model)
+    """lang, posterior and text_lang of rows (text, markup, url, host), with what other
+    columns they have, such as a key."""
+    return fuse(written(evidence(rows, model), "language-evidence"), model)
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """Documents as rows to identify: their source is the host; their language label
-    is what the text model learns from and so is never evidence for a verdict."""
+    """Documents as rows (id, text, markup, url, host) to identify: their source is the
+    host; their language label is what the text model learns from and so is never
+    evidence for a verdict."""
     null = F.lit(None).cast("string")
-    own = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("host"))
-    return own.select("id", "text", null.alias("markup"), null.alias("url"), "host")
+    own = picked(docs, "doc_id", "text", "source")
+    return own.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), null.alias("markup"), null.alias("url"), F.col("source").cast("string").alias("host"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """Pages as rows to identify, with ids below zero: -1 - page_id."""
+    """Pages as rows (id, text, markup, url, host) to identify."""
     null = F.lit(None).cast("string")
-    return pages.select((-1 - F.col("page_id")).alias("id"), null.alias("text"), F.col("html").alias("markup"), F.col("url"), null.alias("host"))
+    return picked(pages, "page_id", "html", "url").select(F.col("page_id").alias("id"), null.alias("text"), F.col("html").alias("markup"), "url", null.alias("host"))
 
 
 #: Least posterior of an accepted verdict.
@@ -228,24 +256,27 @@ ACCEPT = 0.5
 def keep_identified(docs: DataFrame, model: TextModel, threshold: float = ACCEPT) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is identified.
 
-    Rows are told apart by a hash of key, text and source, so repeated rows share
-    their verdict and null keys keep theirs."""
-    tag = F.xxhash64("doc_id", "text", "source")
-    verdicts = identify(document_rows(docs.withColumn("doc_id", tag)), model)
-    good = verdicts.where((F.col("lang") != "und") & (F.col("posterior") >= threshold)).select(F.col("id").alias("__tag")).distinct()
-    return docs.withColumn("__tag", tag).join(good, "__tag", "left_semi").drop("__tag")
+    Rows are told apart by a 128-bit digest of key, text and source, so repeated rows
+    share their verdict and null keys keep theirs; columns are taken by position, so
+    clashing names are harmless. An empty table stays empty."""
+    rows = positional(docs)
+    tagged = rows.withColumn("tag", row_key(*[F.col(place_of(docs, c)) for c in ("doc_id", "text", "source")]))
+    named = tagged.select(F.col("tag").alias("doc_id"), F.col(place_of(docs, "text")).alias("text"), F.col(place_of(docs, "source")).alias("source"))
+    verdicts = identify(document_rows(named), model)
+    good = verdicts.where((F.col("lang") != "und") & (F.col("posterior") >= threshold)).select(F.col("id").alias("tag")).distinct()
+    return tagged.join(good, "tag", "left_semi").select(*rows.columns).toDF(*docs.columns)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents and all pages: doc_id (for a page -1 - page_id), page_id, lang,
-    posterior, text_lang, accepted."""
+    """All documents and all pages: doc_id (for a page -1 - page_id), page_id (null for a
+    document), lang, posterior, text_lang, accepted."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs)
-    rows = document_rows(docs).unionByName(page_rows(table(spark, sf_dir, "pages")))
+    rows = document_rows(docs).withColumn("page", F.lit(False)).unionByName(page_rows(table(spark, sf_dir, "pages")).withColumn("page", F.lit(True)))
     got = identify(rows, model)
     return got.select(
-        F.col("id").alias("doc_id"),
-        F.when(F.col("id") < 0, -1 - F.col("id")).alias("page_id"),
+        F.when(F.col("page"), -1 - F.col("id")).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("page"), F.col("id")).alias("page_id"),
         "lang",
         "posterior",
         "text_lang",
