@@ -41,6 +41,38 @@ def test_query_equals_brute_force(spark, tmp_path):
         assert abs(r.near_edited - like(brute_set(t), brute_set(e))) < 1e-9
         assert abs(r.near_next - like(brute_set(t), brute_set(after))) < 1e-9
         assert all(got[j].fingerprint == r.fingerprint for j, u in rows if u == t)
+    assert {k: r.class_id for k, r in got.items()} == brute_classes(rows)
+
+
+def brute_classes(rows):
+    """Least key of each row's component of links at the threshold."""
+    own, root = [brute_set(t) for _, t in rows], [k for k, _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if like(own[i], own[j]) >= op.THRESHOLD - 1e-12:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return dict(zip([k for k, _ in rows], root, strict=True))
+
+
+def test_classes_of_near_fingerprints(spark, tmp_path):
+    """Edits of many kinds, a passage that all texts share, and a large group of copies."""
+    rng = np.random.default_rng(7)
+    pool = ["the", "of", "and", "la", "und"]
+    say = lambda n: [w for _ in range(n) for w in (str(rng.choice(pool)), *(f"x{rng.integers(9000)}" for _ in range(3)))]
+    shared, rows = say(30), []
+    for i in range(25):
+        base = say(60)
+        for _ in range(4):
+            own = [w for w in base if rng.random() > 0.004 * (i % 6)]
+            rows.append(" ".join(shared + own if i % 2 else own))
+    hub = say(60)
+    rows += [" ".join([*hub[:k], "changed", *hub[k + 1 :]]) for k in range(0, 240, 2)]
+    rows = list(enumerate(rows))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_classes(rows)
+    got = {(r.id): r.class_id for r in op.class_ids(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert got == want and 20 < len(set(want.values())) < 100
 
 
 def test_odd_rows(spark, docs):
