@@ -68,3 +68,20 @@ def test_keep_one_drops_no_text_below(spark):
         stays += 1 if near else 2
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
     assert op7_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == stays
+
+
+def test_bit_maps_lose_no_pair():
+    """Close pairs hold all that is similar, whatever the sizes of the maps."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (1, 2, 15, 16, 17, 63, 64, 65, 66, 500, 4100):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for keep in (1.0, 0.97, 0.9, 0.85, 0.7):
+            own = np.concatenate((base[rng.random(n) < keep], rng.integers(0, 2**63, int(n * (1 - keep) / 4)).astype(np.uint64)))
+            sets.append(np.unique(own if len(own) else base))
+    nodes = np.arange(len(sets))
+    maps = [op.bit_map(s) for s in sets]
+    got = set(op.close_pairs(nodes, nodes, np.array([len(s) for s in sets]), None, maps, False))
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if op.similar(sets[i], sets[j])}
+    assert want <= got and len(got) < 3 * len(want)
+    assert all(np.array_equal(op.folded(m, len(m) // 2), op.folded(op.folded(m, len(m) // 2), len(m) // 2)) for m in maps if len(m) > 1)

@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline as p
-from weftgraph.llm import op7_simhash
+from weftgraph.llm import op2_quality, op6_language, op7_simhash
 
 
 def test_stages_on_planted_documents(spark, tmp_path):
@@ -39,20 +39,24 @@ def test_keep_one_of_odd_rows(spark, docs, empty):
     assert op7_simhash.keep_one(empty).count() == 0
 
 
-def test_near_copies_of_four_fifths_are_found(spark):
-    """Pairs with scattered edits, five-word Jaccard 0.85 and more, against strangers."""
-    rng = np.random.default_rng(3)
-    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), 6))
-    rows, found = [], 0
-    for i in range(60):
-        w = [word() for _ in range(300)]
-        v = list(w)
-        for at in rng.choice(300, 4, replace=False):
-            v[at] = word()
-        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
-    got = {r.doc_id: r.component_id for r in op7_simhash.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 6).collect()}
-    found = sum(got[2 * i + 1] == 2 * i for i in range(60))
-    assert found >= 50 and all(got[2 * i] == 2 * i for i in range(60))
+def test_clashing_and_odd_columns(spark):
+    """Names that differ in case only, and names that operators use themselves."""
+    rows = [(i, f"text number {i % 3} of these and others", 10 + i, "t", "en", "s", i) for i in range(6)] + [(None, None, 1, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, DOC_ID long, tag string, lang string, source string, Source long")
+    kept = op7_simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect() if r[0] is not None) == [0, 1, 2]
+    known = op6_language.keep_identified(docs, op6_language.fit(docs.drop("Source").toDF("a", "text", "b", "tag", "lang")))
+    assert known.columns == docs.columns and known.count() == 6
+    good = op2_quality.keep_good(docs, op2_quality.train(([], []), (0, 0)))
+    assert good.columns == docs.columns and good.count() == 7
+
+
+def test_null_text_is_no_empty_source(spark):
+    """(null, "x") and ("x", null) are different rows to the language stage."""
+    rows = [(1, None, "abc def ghi jkl mno"), (1, "abc def ghi jkl mno", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    model = op6_language.fit_texts({"aa": ["abc def ghi"] * 4})
+    assert [r.text for r in op6_language.keep_identified(docs, model).collect()] == [rows[1][1]]
 
 
 def test_stages_on_an_empty_table(spark, empty, tmp_path):

@@ -1,24 +1,22 @@
-"""Groups of near copies by exact Jaccard similarity of word shingles (the pipeline's
-third stage).
+"""Groups of near copies by SimHash and exact verification (the pipeline's third stage).
 
 Two texts are linked if the sets of their shingles' 64-bit hashes have a Jaccard
-similarity of NUM / DEN or more; groups are the components of these links. Nothing is
-lost and nothing below is linked:
-- equal sets are one node;
-- prefix filter: under any one order of all shingles, two sets that similar share
-  ``COMMON`` (or, if that is less, ceil(similarity n) of the smaller) of the first
-  n - ceil(similarity n) + ``COMMON`` of each. The order puts the shingles that a sample
-  of texts has seen often last, which keeps the lists of a shingle short; the sample
-  changes the lists only, never the result;
-- length filter: the smaller set has at least that share of the larger one's size;
-- every pair that is left is verified on whole sets.
-
-Each shared shingle's least node is compared with the others first. Nodes that these
-links connect need no further comparison, so a large group of near copies costs a row a
-member and shingle; then all pairs of a list that are not yet connected are compared.
+similarity of NUM / DEN or more; groups are the components of these links. Candidates come
+from operator 7, its fingerprints of the same shingles and its grid join, and every one is
+verified on whole sets. Fingerprints alone do not reach all pairs: at a similarity of 0.8
+they lie some ten bits apart. So what shares rare shingles is verified too, by the prefix
+filter of ``setjoin``, which is exact. Nothing is lost and nothing below is linked.
+
+Within a list of texts that share a shingle, pairs are judged by bit maps first: a map has
+a bit flipped for each shingle, so two maps differ in no more bits than the sets in
+shingles. A pair whose maps differ in more than a ninth of both sizes is no near copy;
+most others are.
+
+The order of shingles puts those that a sample of texts has seen often last; the sample
+changes the lists that are compared, never the result.
 
 Null text counts as empty; all texts without words are one node. Repeated rows are each
-returned. An empty table gives no rows."""
+returned. An empty table gives no rows. Equal sets are one node, named by a 64-bit hash."""
 
 from __future__ import annotations
 
@@ -30,31 +28,72 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, small_batches, written
+from .common import picked, schema_of, slices, spread_join, written
+from .op7_simhash import RADIUS, SEED, links, majority, shingles
 from .components import components
-from .op7_simhash import SEED, shingles
+from .setjoin import DEN, NUM, blocks, open_lists, partners, prefix_length, token_lists
 
 WORDS = 5
-#: The similarity that links, as a ratio.
-NUM, DEN = 4, 5
-#: Shingles that two prefixes must share; more than one spares most chance meetings.
-COMMON = 4
 #: One text in so many is sampled for the order, which has so many frequent shingles at most.
 EVERY, FREQUENT = 8, 1 << 17
 #: Bits of the map by which texts that take part in some pair are read again.
 MAP = 1 << 23
 
 
-def shingle_set(data: bytes, words: int = WORDS) -> np.ndarray:
-    """The distinct hashes of a text's shingles, ascending."""
+def shingle_hashes(data: bytes, words: int = WORDS) -> list[int]:
+    """The hashes of a text's shingles, repeats included."""
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(j[s:e], SEED) for j, starts, ends in shingles(data, words) for s, e in zip(starts, ends, strict=True)], np.uint64))
+    return [digest(j[s:e], SEED) for j, starts, ends in shingles(data, words) for s, e in zip(starts, ends, strict=True)]
 
 
-def prefix_length(n: int) -> int:
-    """Of n shingles, how many of the first must be looked at."""
-    least = (NUM * n + DEN - 1) // DEN
-    return n - least + min(COMMON, least)
+def shingle_set(data: bytes, words: int = WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    return np.unique(np.array(shingle_hashes(data, words), np.uint64))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Operator 7's fingerprint of a text with these shingle hashes, as a signed number."""
+    return int.from_bytes(majority(iter([(hashes.astype(">u8").tobytes(), len(hashes))] if len(hashes) else []), 8), "big", signed=True)
+
+
+def bit_map(s: np.ndarray) -> np.ndarray:
+    """A set's map: four bits a shingle or more, a power of two of 64-bit words."""
+    words = 1 << max(0, (len(s) - 1) // 16).bit_length()
+    bits = np.bincount((s % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(m: np.ndarray, words: int) -> np.ndarray:
+    """The map of fewer words of the same set."""
+    return np.bitwise_xor.reduce(m.reshape(-1, words), axis=0)
+
+
+def close_pairs(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, own: np.ndarray | None, maps: list[np.ndarray], best: bool) -> list[tuple[int, int]]:
+    """Pairs of nodes of different roots (and blocks ``own``, if given) whose sizes and
+    maps allow the similarity; with ``best`` only the closest of each root a node."""
+    out, words = [], np.array([len(m) for m in maps])
+    for w in np.unique(words):
+        x, y = np.flatnonzero(words == w), np.flatnonzero((words == w) | (words == 2 * w))
+        small = np.stack([folded(maps[i], w) for i in y])
+        for lo in range(0, len(x), 32):
+            part = x[lo : lo + 32]
+            differ = np.zeros((len(part), len(y)), np.int64)
+            for k in range(0, w, 256):
+                mine = np.stack([maps[i][k : k + 256] for i in part])
+                differ += np.bitwise_count(mine[:, None, :] ^ small[None, :, k : k + 256]).sum(axis=2, dtype=np.int64)
+            both = sizes[part][:, None] + sizes[y][None, :]
+            ok = ((DEN + NUM) * differ <= (DEN - NUM) * both) & (roots[part][:, None] != roots[y][None, :])
+            ok &= DEN * np.minimum(sizes[part][:, None], sizes[y][None, :]) >= NUM * np.maximum(sizes[part][:, None], sizes[y][None, :])
+            if own is not None:
+                ok &= own[part][:, None] != own[y][None, :]
+            i, j = np.nonzero(ok)
+            if best and len(i):
+                order = np.lexsort((nodes[y[j]], differ[i, j], roots[y[j]], i))
+                i, j = i[order], j[order]
+                keep = np.concatenate(([True], (i[1:] != i[:-1]) | (roots[y[j[1:]]] != roots[y[j[:-1]]])))
+                i, j = i[keep], j[keep]
+            out += [(min(p, q), max(p, q)) for p, q in zip(nodes[part[i]].tolist(), nodes[y[j]].tolist(), strict=True)]
+    return out
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -64,18 +103,18 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    return keyed_text(docs).withColumn("h", F.xxhash64("text"))
+    """doc_id, whatever its type, text (null as empty) and a hash of the text."""
+    return picked(docs, "doc_id", "text").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
 
 
 def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes ascending, counts) of the shingles that are frequent in a sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py().encode(), words).view(np.int64))], ["tok"])
 
-    small_batches(docs.sparkSession)
     seen = _hashed(docs).where(F.pmod("h", F.lit(EVERY)) == 0).select("text").mapInArrow(run, "tok long")
     top = seen.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "tok").limit(FREQUENT).collect()
     toks, n = np.array([r["tok"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
@@ -84,29 +123,33 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h, node, n, toks) of every row: hash of the text, hash and size of its
-    set, and the set's prefix."""
+    """(doc_id, h, node, n, fp, toks, map) of every row: hash of the text, hash and size of
+    its set, its SimHash, the set's prefix and bit map."""
     hot, count = frequent(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, toks = [], [], []
+        for batch in slices(batches, 1):
+            nodes, sizes, fps, toks, maps = [], [], [], [], []
             for t in batch.column(1):
-                s = shingle_set(t.as_py().encode(), words)
+                own = np.array(shingle_hashes(t.as_py().encode(), words), np.uint64)
+                s = np.unique(own)
                 rank = np.zeros(len(s), np.int64)
                 if len(hot) and len(s):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     rank = np.where(hot[at] == s, count[at], 0)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
+                fps.append(fingerprint_of(own))
+                maps.append(bit_map(s).tobytes())
                 toks.append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s))]])
             off = np.concatenate(([0], np.cumsum([len(p) for p in toks]))).astype(np.int32)
             flat = np.concatenate([*toks, np.zeros(0, np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists], ["doc_id", "h", "node", "n", "toks"])
+            columns = [batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), lists, pa.array(maps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "node", "n", "fp", "toks", "map"])
 
-    small_batches(docs.sparkSession)
-    return _hashed(docs).mapInArrow(run, "doc_id long, h long, node long, n int, toks array<bigint>")
+    rows = _hashed(docs)
+    return rows.mapInArrow(run, f"{schema_of(rows, 'doc_id')}, h long, node long, n int, fp long, toks array<bigint>, map binary")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -120,14 +163,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     bits = bits.view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             at = batch.column(1).to_numpy() % MAP
             take = np.flatnonzero((bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1))
             own = [shingle_set(batch.column(0)[int(i)].as_py().encode(), words) for i in take]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in own], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(take)), pa.array(nodes), pa.array([s.tobytes() for s in own], pa.binary())], ["h", "node", "own"])
 
-    small_batches(docs.sparkSession)
     found = _hashed(docs).select("text", "h").mapInArrow(run, "h long, node long, own binary")
     return found.join(wanted.select("h").distinct(), "h", "left_semi").select("node", "own").dropDuplicates(["node"])
 
@@ -136,48 +178,68 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the ``pairs`` (a, b) of nodes whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    small_batches(pairs.sparkSession)
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
     both = one.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_copy_groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def simhash_candidates(rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal or linked: of each fingerprint's
+    nodes with its least node, and of linked fingerprints' least nodes."""
+    nodes = rows.select("fp", "node").distinct()
+    classes = written(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    total = classes.agg(F.sum("n").alias("n")).first()["n"] or 1
+    same = spread_join(nodes, classes, "fp", "n", total, "node").select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b")
+    near = links(classes.select("fp"), radius)
+    x, y = classes.select(F.col("fp").alias("a"), F.col("least").alias("x")), classes.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    return near.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same)
+
+
+def compared(groups: DataFrame, best: bool) -> DataFrame:
+    """The close pairs (a, b) of ``blocks`` whose payload is the bit map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, rows=256):
+            found = []
+            for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = members.values
+                node, root, n, block = (own.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                found += close_pairs(node, root, n.astype(np.int64), None if i == j else block, [np.frombuffer(m.as_buffer(), np.uint64) for m in own.field(4)], best)
+            found = sorted(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return groups.select("i", "j", "members").mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copy_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id and component_id (the least key of the group) of every row of ``docs``."""
     rows = written(prefixes(docs, words), "shingles")
-    each = rows.select("node", "n", F.explode("toks").alias("tok"))
-    shared = each.groupBy("tok").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("tok", "a")
-    lists = written(each.join(shared, "tok").select("tok", "node", "n", "a").distinct(), "lists")
-
-    def met(pairs: DataFrame) -> DataFrame:
-        """Of rows (a, b, n, m), one a common shingle, the pairs that pass the filters."""
-        low, high = F.least("n", "m"), F.greatest("n", "m")
-        needed = F.least(F.lit(COMMON), F.ceil(low * NUM / DEN))
-        long_enough = pairs.where(low * DEN >= high * NUM).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first(needed).alias("needed"))
-        return long_enough.where("common >= needed").select("a", "b")
-
-    def linked(pairs: DataFrame) -> DataFrame:
+    maps = rows.select("node", F.col("map").alias("what"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = written(rows.join(ends, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")), "wanted")
+        wanted = written(rows.select("node", "h").join(ends, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")), "wanted")
         return written(verified(pairs, written(sets_of(docs, wanted, words), "sets")), "links")
 
-    first = lists.where("node = a").select("tok", F.col("n").alias("m"))
-    near = linked(met(lists.where("node <> a").select("tok", "a", F.col("node").alias("b"), "n").join(first, "tok")))
-
+    lists = token_lists(rows.select("node", "n", "toks"))
+    found = simhash_candidates(rows, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = checked(found.unionByName(partners(lists)).distinct())
+    for best in (True, False):
+        # the closest of each other group first, then whatever may still be near
+        opened = open_lists(lists, near)
+        wanted = opened.select("node").distinct()
+        own = written(maps.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "maps")
+        near = near.unionByName(checked(compared(blocks(opened, own), best)))
+        lists = opened.select("tok", "node", "n")
     found = components(near)
-    rooted = written(lists.join(found, "node", "left").select("tok", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
-    open_ = rooted.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tok")
-    some = written(rooted.join(open_, "tok", "left_semi"), "open")
-    x, y = some.toDF("tok", "a", "n", "ra"), some.toDF("tok", "b", "m", "rb")
-    rest = linked(met(x.join(y, "tok").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")))))
-    found = components(near.unionByName(rest))
-
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    roots = least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "node").join(roots.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    roots = written(least.join(found, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root")), "roots")
+    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"), F.sum("copies").alias("rows"))
+    total = ids.agg(F.sum("rows").alias("rows")).first()["rows"] or 1
+    named = spread_join(roots, ids.drop("rows"), "root", "nodes", total, "node").select("node", "component_id", "copies")
+    return spread_join(rows.select("doc_id", "node"), named, "node", "copies", total, "doc_id").select("doc_id", "component_id")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_text, small_batches, table, written
+from .common import keyed_text, place_of, positional, row_key, slices, spread_join, table, written
 from .components import components
 
 WORDS = 4
@@ -98,26 +98,14 @@ def fingerprint(data: bytes, words: int = WORDS) -> int:
     return int.from_bytes(majority(own, 8), "big")
 
 
-#: Independent fingerprints of 64 bits that ``wide_fingerprint`` has.
-WIDE = 4
-
-
-def wide_fingerprint(data: bytes, words: int) -> np.ndarray:
-    """``WIDE`` independent SimHashes, from 128-bit hashes of each shingle."""
-    digest, seeds = xxhash.xxh3_128_digest, range(SEED, SEED + WIDE // 2)
-    own = ((b"".join([digest(j[s:e], k) for s, e in zip(starts, ends, strict=True) for k in seeds]), len(starts)) for j, starts, ends in shingles(data, words))
-    return np.frombuffer(majority(own, 8 * WIDE), ">i8").astype(np.int64)
-
-
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             fps = np.array([fingerprint(t.as_py().encode(), words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
     return keyed_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -165,29 +153,25 @@ def forest(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Verified links (a, b) between distinct fingerprints ``fp`` that connect exactly
-    what is within ``radius``: a spanning forest for each cell or pair of blocks.
-
-    With a column ``family`` (below ``WIDE``) fingerprints meet within their family only,
-    all families in one pass, and links carry it."""
-    many = "family" in classes.columns
-    own = classes.select("fp", (F.col("family") if many else F.lit(0)).cast("int").alias("family"))
-    masks = cell_masks(groups_needed(own.count() // (WIDE if many else 1), radius), radius)
+    what is within ``radius``: a spanning forest for each cell or pair of blocks."""
+    own = classes.select("fp")
+    masks = cell_masks(groups_needed(own.count(), radius), radius)
     x, half = F.col("fp"), F.shiftrightunsigned("fp", 1)
     odd = F.lit(ODD)
     unary = x.bitwiseOR(half).bitwiseAND(odd).bitwiseOR(F.shiftleft(x.bitwiseAND(half).bitwiseAND(odd), 1))
-    named = own.select("fp", "family", unary.alias("t"))
-    cells = named.select("fp", "family", F.explode(F.array(*[F.xxhash64("family", F.lit(i), F.col("t").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"))
+    named = own.select("fp", unary.alias("t"))
+    cells = named.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("t").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int")
     dealt = cells.join(sizes, "cell").withColumn("own", block)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j")))
-    lists = dealt.select("fp", "family", "cell", F.inline(pairs)).groupBy("cell", "family", "i", "j").agg(F.collect_list("fp").alias("fps"))
+    lists = dealt.select("fp", "cell", F.inline(pairs)).groupBy("cell", "i", "j").agg(F.collect_list("fp").alias("fps"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows=1024):
             col = batch.column(0)
             flat, off = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate(([0], np.cumsum(np.diff(col.offsets.to_numpy()))))
-            size, a, b, of = np.diff(off), [], [], []
+            size, a, b = np.diff(off), [], []
             todo = np.flatnonzero(size > 64).tolist()
             for s in np.unique(size[(size > 1) & (size <= 64)]):
                 rows = np.flatnonzero(size == s)
@@ -205,63 +189,38 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 for i, j in forest(x, radius):
                     a.append(x[i])
                     b.append(x[j])
-                    of.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), batch.column(1).take(pa.array(of, pa.int64()))], ["a", "b", "family"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    small_batches(classes.sparkSession, 1024)
-    found = lists.select("fps", "family").mapInArrow(verify, "a long, b long, family int")
-    return found if many else found.drop("family")
+    return lists.select("fps").mapInArrow(verify, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every row of ``docs``."""
     fps = written(fingerprints(docs, words), "simhash")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-classes")
+    total = classes.agg(F.sum("copies").alias("n")).first()["n"] or 1
     found = components(links(classes, radius))
-    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def near_copy_groups(docs: DataFrame, words: int, radius: int) -> DataFrame:
-    """doc_id and component_id of every row, linked where any of ``WIDE`` independent
-    fingerprints is within ``radius``: each has its own grid join, and the odds that
-    near copies differ by more in all of them are the product of the odds in one.
-
-    Nodes are sets of equal fingerprints (texts with equal shingles) and the classes of
-    each single fingerprint; classes of one node without links add no edge."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [wide_fingerprint(t.as_py().encode(), words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "fps"])
-
-    small_batches(docs.sparkSession)
-    fps = written(keyed_text(docs).mapInArrow(run, "doc_id long, fps array<bigint>"), "simhash")
-    wide = written(fps.groupBy("fps").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fps")), "simhash-wide")
-    each = wide.select("node", F.posexplode("fps").alias("family", "fp"))
-    classes = written(each.groupBy("family", "fp").agg(F.count(F.lit(1)).alias("n")), "simhash-classes")
-    near = written(links(classes.select("family", "fp"), radius), "simhash-links")
-    name = lambda c: F.xxhash64(F.col("family"), F.col(c))
-    ends = near.select("family", F.explode(F.array("a", "b")).alias("fp")).unionByName(classes.where("n > 1").select("family", "fp")).distinct()
-    members = each.join(ends, ["family", "fp"], "left_semi").select(F.col("node").alias("a"), name("fp").alias("b"))
-    found = components(near.select(name("a").alias("a"), name("b").alias("b")).unionByName(members))
-    rooted = wide.join(found, "node", "left").select("fps", "least", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.join(ids, "root").select("fps", "component_id"), "fps").select("doc_id", "component_id")
+    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = spread_join(rooted, ids, "root", "n", total, "fp").select("fp", "component_id", "copies")
+    return spread_join(fps, named, "fp", "copies", total, "doc_id").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """One row of each group of near copies in ``docs``, with all its columns: the one of
-    least key (null keys last), then of least hash of key and text; of equal rows any."""
-    from .near_copies import near_copy_groups as exact_groups
-
-    tag = F.xxhash64("doc_id", "text")
-    groups = exact_groups(docs.select(tag.alias("doc_id"), "text"), words)
-    keys = docs.select(tag.alias("tag"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), tag.alias("t")).alias("key")).distinct()
-    best = keys.join(groups.select(F.col("doc_id").alias("tag"), "component_id").distinct(), "tag").groupBy("component_id").agg(F.min("key").alias("key"))
-    chosen = best.select(F.col("key.t").alias("__tag"))
-    return docs.withColumn("__tag", tag).join(chosen, "__tag", "left_semi").dropDuplicates(["__tag"]).drop("__tag")
+    least key (null keys last), then of least digest of key and text; of rows equal in both
+    any. Columns are taken by position, so clashing names are harmless; null texts count as
+    empty; an empty table stays empty."""
+    from .near_copies import near_copy_groups
+
+    key, text = F.col(place_of(docs, "doc_id")), F.col(place_of(docs, "text"))
+    rows = positional(docs)
+    tagged = rows.withColumn("tag", row_key(key, text))
+    order = F.struct(key.isNull().alias("n"), key.cast("long").alias("d"), F.col("tag").alias("t"))
+    groups = near_copy_groups(tagged.select(F.col("tag").alias("doc_id"), text.alias("text")), words).distinct()
+    keys = tagged.select(F.col("tag").alias("doc_id"), order.alias("key")).distinct()
+    chosen = keys.join(groups, "doc_id").groupBy("component_id").agg(F.min("key").alias("key")).select(F.col("key.t").alias("tag"))
+    return tagged.join(chosen, "tag", "left_semi").dropDuplicates(["tag"]).select(*rows.columns).toDF(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
