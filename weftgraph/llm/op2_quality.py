@@ -27,7 +27,7 @@ import zstandard as zs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_text, sampled_texts, small_batches, table
+from .common import keyed_text, place_of, positional, sampled_texts, slices, table
 
 #: Bounds of the labelled sample, for each class.
 SAMPLE = 4000
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = compressors(model.dictionaries) if model.dictionaries else None
-        for batch in batches:
+        for batch in slices(batches, 1):
             if pair:
                 x = np.array([features(t.as_py(), pair) for t in batch.column(1)]).reshape(-1, FEATURES)
                 z = ((x - np.array(model.mean)) / np.array(model.scale)) @ np.array(model.weights)
@@ -160,27 +160,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 s = np.full(batch.num_rows, model.share)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["doc_id", "text", "score"])
 
-    small_batches(docs.sparkSession)
     return keyed_text(docs).mapInArrow(run, "doc_id long, text string, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score ``threshold`` or more."""
-    names = docs.columns
+    """The rows of ``docs``, with all their columns, that score ``threshold`` or more. Null
+    texts score as empty ones, repeated rows alike; columns are taken by position, so
+    clashing names are harmless; an empty table stays empty."""
+    at = int(place_of(docs, "text")[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = compressors(model.dictionaries) if model.dictionaries else None
-        for batch in batches:
+        for batch in slices(batches, at):
             if pair:
-                x = np.array([features(t.as_py() or "", pair) for t in batch.column(names.index("text"))]).reshape(-1, FEATURES)
+                x = np.array([features(t.as_py() or "", pair) for t in batch.column(at)]).reshape(-1, FEATURES)
                 z = ((x - np.array(model.mean)) / np.array(model.scale)) @ np.array(model.weights)
                 keep = 1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold
             else:
                 keep = np.full(batch.num_rows, True)
             yield batch.filter(pa.array(keep))
 
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    rows = positional(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

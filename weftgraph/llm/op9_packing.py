@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, small_batches, table, written
+from .common import keyed_text, slices, table, written
 from .wordcache import encoder
 
 WINDOW = 2048
@@ -46,7 +46,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, spaces: str = "drop", wind
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer, spaces, 4), np.array([end_id], "<u4").tobytes()
         part, ranks = TaskContext.get().partitionId(), np.zeros(window // grain + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = enc.encode(text.as_py()) + end
@@ -57,9 +57,8 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, spaces: str = "drop", wind
                     c = -(-n // grain)
                     out.append((part, c, int(ranks[c]), key, start, n, total, piece))
                     ranks[c] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "class", "rank", "doc_id", "start", "length", "doc_tokens", "ids"]) if out else pa.RecordBatch.from_pylist([])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "class", "rank", "doc_id", "start", "length", "doc_tokens", "ids"])
 
-    small_batches(docs.sparkSession)
     return written(keyed_text(docs).mapInArrow(pieces, PIECES), "pieces")
 
 
@@ -189,6 +188,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = cut(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    small_batches(spark, 10_000)  # narrow rows from here on
     narrow = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return assign(narrow).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
