@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import op2_quality, op6_language, op7_simhash, op9_packing
-from weftgraph.llm.common import small_batches, table, written
+from weftgraph.llm.common import table, written
 
 #: Shingles of five words, of which near copies share four fifths (Jaccard, exact).
 WORDS = 5
@@ -35,7 +35,6 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's pieces in sequences of at most 2048 tokens."""
     pieces = op9_packing.cut(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    small_batches(spark, 10_000)
     narrow = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return op9_packing.assign(narrow).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
