@@ -57,8 +57,8 @@ def fingerprint_of(hashes: np.ndarray) -> int:
 
 
 def bit_map(s: np.ndarray) -> np.ndarray:
-    """A set's map: four bits a shingle or more, a power of two of 64-bit words."""
-    words = 1 << max(0, (len(s) - 1) // 16).bit_length()
+    """A set's map: two bits a shingle or more, a power of two of 64-bit words."""
+    words = 1 << max(0, (len(s) - 1) // 32).bit_length()
     bits = np.bincount((s % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 

@@ -8,9 +8,9 @@ common tokens last keeps the lists of a token short, and changes nothing else.
 
 Lists are not multiplied out. First every node meets one partner, the least node that it
 shares a token with. What links connect needs no further comparison, so a large group of
-near copies costs a row a member. Lists that still hold several groups are gathered in
-blocks of at most ``BLOCK`` nodes, all pairs of blocks of a list, and compared in place:
-no pair becomes a row unless it is close."""
+near copies costs a row a member. What lists still hold of several groups is gathered by
+group, in pairs of blocks of at most ``BLOCK`` nodes, and compared in place: no pair
+becomes a row unless it is close."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ from .components import components
 
 #: The similarity that links, as a ratio.
 NUM, DEN = 4, 5
-#: Nodes of a token's list that are compared in one piece with as many others.
+#: Nodes that are compared in one piece with as many others.
 BLOCK = 256
 
 
@@ -71,12 +71,16 @@ def strangers(opened: DataFrame) -> DataFrame:
 
 
 def blocks(opened: DataFrame, payload: DataFrame) -> DataFrame:
-    """(i, j, members) of each pair of blocks of every open list: members have node, root,
-    n, their block ``own``, and ``what`` of ``payload`` (node, what). Members of two
-    different blocks are to be compared where i < j, all where i = j."""
-    sizes = opened.groupBy("tok").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = opened.join(sizes, "tok", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    """(i, j, members) of each pair of blocks of nodes that may be near: members have
+    node, root, n, their block ``own``, and ``what`` of ``payload`` (node, what). Members of
+    two different blocks are to be compared where i < j, all where i = j.
+
+    The lists that begin with the same group are one: its nodes, and all that share a token
+    with one of them, stand there once, however many tokens they share."""
+    each = opened.select(F.col("first.root").alias("of"), "node", "n", "root").distinct()
+    sizes = each.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = each.join(sizes, "of", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j")))
     member = F.struct("node", "root", "n", "own", "what").alias("member")
-    return dealt.join(payload, "node").select("tok", member, F.inline(sides)).groupBy("tok", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1).select("i", "j", "members")
+    return dealt.join(payload, "node").select("of", member, F.inline(sides)).groupBy("of", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1).select("i", "j", "members")
