@@ -25,6 +25,7 @@ class Property:
     enum: tuple[str, ...] = ()
     low: float | None = None
     high: float | None = None
+    description: str = ""
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,7 @@ class NodeType:
     aliases: tuple[str, ...] = ()
     broader: tuple[str, ...] = ()
     identity: tuple[str, ...] = ()
+    description: str = ""
 
 
 @dataclass(frozen=True)
@@ -41,6 +43,7 @@ class RelationType:
     target: str = "Any"
     cardinality: str = "MANY_TO_MANY"
     aliases: tuple[str, ...] = ()
+    description: str = ""
 
 
 @dataclass(frozen=True)
@@ -199,16 +202,80 @@ class Ontology:
 
     # -- S28, S29: exchange
 
+    def document(self) -> dict:
+        """The ontology as plain lists and maps, without what is empty."""
+        said = lambda x: {k: list(v) if isinstance(v, tuple) else v for k, v in vars(x).items() if k != "properties" and v not in (False, (), None, "")}
+        node = lambda t: {"properties": {k: said(p) for k, p in t.properties.items()}, **said(t)}
+        return {"name": self.name, "version": self.version, "nodes": {n: node(t) for n, t in self.nodes.items()}, "relations": {r: said(t) for r, t in self.relations.items()}}
+
+    @staticmethod
+    def from_document(d: dict) -> Ontology:
+        tup = lambda x: {k: tuple(v) if isinstance(v, list) else v for k, v in x.items()}
+        node = lambda t: NodeType({k: Property(**tup(p)) for k, p in (t.get("properties") or {}).items()}, **tup({k: v for k, v in t.items() if k != "properties"}))
+        return Ontology(d["name"], str(d.get("version", "1.0.0")), {n: node(t) for n, t in d["nodes"].items()}, {r: RelationType(**tup(t)) for r, t in (d.get("relations") or {}).items()})
+
     def to_json(self) -> str:
-        node = lambda t: {"properties": {k: {a: b for a, b in vars(p).items() if b not in (False, (), None)} for k, p in t.properties.items()}, "aliases": t.aliases, "broader": t.broader, "identity": t.identity}
-        return json.dumps({"name": self.name, "version": self.version, "nodes": {n: node(t) for n, t in self.nodes.items()}, "relations": {r: vars(t) for r, t in self.relations.items()}}, sort_keys=True)
+        return json.dumps(self.document(), sort_keys=True)
 
     @staticmethod
     def from_json(text: str) -> Ontology:
-        d = json.loads(text)
-        tup = lambda x: {k: tuple(v) if isinstance(v, list) else v for k, v in x.items()}
-        nodes = {n: NodeType({k: Property(**tup(p)) for k, p in t.get("properties", {}).items()}, tuple(t.get("aliases", ())), tuple(t.get("broader", ())), tuple(t.get("identity", ()))) for n, t in d["nodes"].items()}
-        return Ontology(d["name"], d.get("version", "1.0.0"), nodes, {r: RelationType(**tup(t)) for r, t in d.get("relations", {}).items()})
+        return Ontology.from_document(json.loads(text))
+
+    def to_yaml(self) -> str:
+        """Block style: a map an indented line a key, lists and scalars as JSON, which is
+        YAML's own flow style."""
+
+        def lines(x: dict, depth: int) -> list[str]:
+            out = []
+            for k, v in x.items():
+                nested = isinstance(v, dict) and v
+                out += [f"{'  ' * depth}{json.dumps(k) if not NAME.fullmatch(k) else k}:{'' if nested else ' ' + json.dumps(v, ensure_ascii=False)}"]
+                out += lines(v, depth + 1) if nested else []
+            return out
+
+        return "\n".join(lines(self.document(), 0)) + "\n"
+
+    @staticmethod
+    def from_yaml(text: str) -> Ontology:
+        """What ``to_yaml`` writes, and hand-written block maps of plain scalars."""
+        root: dict = {}
+        open_: list[tuple[int, dict]] = [(-1, root)]
+        for line in text.splitlines():
+            if not line.strip() or line.lstrip().startswith("#"):
+                continue
+            m = re.fullmatch(r'(\s*)("(?:[^"\\]|\\.)*"|[^\s:#][^:]*?)\s*:(?:\s+(.*?))?\s*', line)
+            if not m:
+                raise ValueError(f"no key and value: {line!r}")
+            depth, key, said = len(m[1]), json.loads(m[2]) if m[2].startswith('"') else m[2], m[3]
+            while open_[-1][0] >= depth:
+                open_.pop()
+            if said in (None, ""):
+                open_[-1][1][key] = {}
+                open_.append((depth, open_[-1][1][key]))
+                continue
+            try:
+                open_[-1][1][key] = json.loads(said)
+            except ValueError:
+                open_[-1][1][key] = said.strip("'")
+        return Ontology.from_document(root)
+
+    def to_jsonld(self, base: str = "urn:weft:") -> str:
+        """Linked JSON: labels are OWL classes, properties and relationships those of OWL;
+        the document itself rides along, so nothing is lost."""
+        context = {"@vocab": base, "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "owl": "http://www.w3.org/2002/07/owl#", "skos": "http://www.w3.org/2004/02/skos/core#"}
+        ref = lambda n: {"@id": f"{base}{n}"}
+        graph = []
+        for n, t in self.nodes.items():
+            graph.append({**ref(n), "@type": "owl:Class", "rdfs:subClassOf": [ref(b) for b in t.broader], "skos:altLabel": list(t.aliases), "rdfs:comment": t.description})
+            graph += [{**ref(f"{n}.{k}"), "@type": "owl:DatatypeProperty", "rdfs:domain": ref(n), "type": p.type} for k, p in t.properties.items()]
+        for r, t in self.relations.items():
+            ends = {f"rdfs:{side}": ref(x) for side, x in (("domain", t.source), ("range", t.target)) if x != "Any"}
+            graph.append({**ref(r), "@type": "owl:ObjectProperty", **ends})
+        return json.dumps({"@context": context, "@id": f"{base}{self.name}", "@graph": graph, "document": self.document()}, sort_keys=True)
+
+    @staticmethod
+    def from_jsonld(text: str) -> Ontology:
+        return Ontology.from_document(json.loads(text)["document"])
 
     def to_turtle(self, base: str = "urn:weft:") -> str:
         out = [f"@prefix : <{base}> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .", "@prefix owl: <http://www.w3.org/2002/07/owl#> ."]
