@@ -64,14 +64,31 @@ def multiplicity(edges: DataFrame) -> DataFrame:
 def degree_profile(edges: DataFrame) -> DataFrame:
     """Anchors by rank of degree: the hub, and the nodes at p99.9, p99 and the median.
 
-    Ranks are taken on the degree table; nodes of the least id win ties."""
-    d = degrees(edges).select("node", "degree")
-    rank = d.select("node", "degree", F.row_number().over(Window.orderBy(F.desc("degree"), "node")).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+    Ranks are places in the order of degree; nodes of the least id win ties. Only the
+    counts of each degree meet in one task, not the nodes."""
+    d = cut(degrees(edges).select("node", "degree"))
+    sizes = d.groupBy("degree").agg(F.count(F.lit(1)).alias("size"))
+    above = sizes.select("degree", (F.sum("size").over(Window.orderBy(F.desc("degree"))) - F.col("size")).alias("above"), F.sum("size").over(Window.partitionBy()).alias("n"))
+    # only the degrees that an anchor's rank falls on are ranked within
+    marks = F.array(F.lit(1), *[F.floor(F.col("n") * q) + 1 for q in (0.001, 0.01, 0.5)])
+    hit = above.join(sizes, "degree").where(F.exists(marks, lambda m: (m > F.col("above")) & (m <= F.col("above") + F.col("size"))))
+    near = d.join(F.broadcast(hit), "degree")  # four degrees at most
+    rank = ranked_within(near, "degree", "node").select("node", "degree", (F.col("above") + F.col("r")).alias("rank"), "n")
     at = {"hub": F.lit(1), "p999": F.floor(F.col("n") * 0.001) + 1, "p99": F.floor(F.col("n") * 0.01) + 1, "median": F.floor(F.col("n") * 0.5) + 1}
     hits = F.filter(F.array(*[F.when(F.col("rank") == r, F.lit(k)) for k, r in at.items()]), lambda x: x.isNotNull())
     return rank.select("node", "degree", "rank", F.explode(hits).alias("anchor"))
 
 
+def ranked_within(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """``r``, each row's place among those of its key by the unique ``by``: ranks within
+    range partitions, and the counts of those before, so that no key is one task's."""
+    dealt = cut(rows.repartitionByRange(key, by).withColumn("__part", F.spark_partition_id()))
+    own = dealt.withColumn("__own", F.row_number().over(Window.partitionBy("__part", key).orderBy(by)))
+    counts = dealt.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))  # a row a key and partition
+    before = counts.select(key, "__part", (F.sum("__n").over(Window.partitionBy(key).orderBy("__part")) - F.col("__n")).alias("__before"))
+    return own.join(before, [key, "__part"]).withColumn("r", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """src, l1 (its edges), l2 (the out-degrees of their targets, per edge), by degree:
     no two-hop path is made."""
@@ -104,10 +121,27 @@ def wedges(pairs: DataFrame, degree_max: int | None) -> DataFrame:
     return x.join(y, "c").where("a < b")
 
 
+def triangles(pairs: DataFrame) -> DataFrame:
+    """(u, v, w, uv, uw, vw): each triangle of the pairs (a, b, w), a < b, once; v < w.
+
+    Pairs point from lower to higher degree, so the wedges of a node are pairs of its
+    higher neighbours, of which no node has more than the square root of twice all edges.
+    ``w`` has the ways of a pair, 1 for a to b and 2 for b to a; uv, uw and vw have them
+    seen from their first node."""
+    pairs = cut(pairs)
+    d = pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
+    known = pairs.join(d.toDF("a", "da"), "a").join(d.toDF("b", "db"), "b")
+    up = F.struct("da", "a") <= F.struct("db", "b")
+    turned = F.when(F.col("w") == 3, 3).otherwise(3 - F.col("w"))
+    out = known.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(up, F.col("w")).otherwise(turned).alias("ux"))
+    one, two = out.toDF("u", "v", "uv"), out.toDF("u", "w", "uw")
+    return one.join(two, "u").where("v < w").join(pairs.toDF("v", "w", "vw"), ["v", "w"])
+
+
 def clustering(edges: DataFrame, degree_max: int | None = None) -> DataFrame:
     """node, degree, triangles and the local clustering coefficient 2 t / (d (d - 1))."""
     pairs = undirected(edges)
-    closed = wedges(pairs, degree_max).join(pairs, ["a", "b"], "left_semi").groupBy(F.col("c").alias("node")).agg(F.count(F.lit(1)).alias("triangles"))
+    closed = triangles(pairs.withColumn("w", F.lit(3))).select(F.explode(F.array("u", "v", "w")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("triangles"))
     d = both_ways(pairs).groupBy(F.col("n").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     d = d.where(F.col("degree") <= degree_max) if degree_max is not None else d
     out = d.join(closed, "node", "left").na.fill(0, ["triangles"])
@@ -197,7 +231,7 @@ def reach(edges: DataFrame, start: DataFrame, hops: int, include_start: bool = F
     """node, hops: every node within ``hops`` of the start nodes (column node) with its
     least distance. A node is expanded once. With ``include_start`` a start node that
     lies on a cycle is reached, at the cycle's length; else start nodes are left out."""
-    e = edges.select("src", "dst").distinct()
+    e = cut(edges.select("src", "dst").distinct())  # whatever makes the edges runs once
     first = start.select("node").distinct()
     seen = cut(e.join(first.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().withColumn("hops", F.lit(1)))
     frontier = seen

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,12 +44,14 @@ def ndcg(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def kendall(rows: DataFrame) -> DataFrame:
-    """E5: query and tau-a of rows (query, item, x, y); fewer than two items give 1. Lists
-    are short; pairs are made within a query's list only."""
-    a = rows.select("query", F.col("item").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
-    b = rows.select("query", F.col("item").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
-    s = a.join(b, "query").where("i < j").groupBy("query").agg(F.sum(F.signum((F.col("xi") - F.col("xj")) * (F.col("yi") - F.col("yj")))).alias("s"), N().alias("n"))
-    return rows.select("query").distinct().join(s, "query", "left").select("query", F.round(F.coalesce(F.col("s") / F.col("n"), F.lit(1.0)), 6).alias("tau"))
+    """E5: query and tau-a of rows (query, item, x, y); fewer than two items give 1. A
+    query's list is one array of its values, compared in place: no pair becomes a row."""
+    lists = rows.groupBy("query").agg(F.collect_list(F.struct("x", "y")).alias("l"))
+    after = lambda i: F.slice("l", i + 2, F.greatest(F.size("l") - i - 1, F.lit(0)))
+    against = lambda p, i: F.aggregate(after(i), F.lit(0.0), lambda s, q: s + F.signum(p["x"] - q["x"]) * F.signum(p["y"] - q["y"]))
+    s = F.aggregate(F.transform("l", against), F.lit(0.0), lambda a, x: a + x)
+    n = F.size("l").cast("long")
+    return lists.select("query", F.round(F.when(n < 2, 1.0).otherwise(s / (n * (n - 1) / 2)), 6).alias("tau"))
 
 
 def triples(found: DataFrame, gold: DataFrame) -> DataFrame:
@@ -133,33 +134,6 @@ def disposition(signals: DataFrame) -> DataFrame:
     return s.select("subject", F.when((F.col("c") == 1) | (F.col("h") == 1), "block").when(F.col("m") == 1, "review").otherwise("allow").alias("disposition"))
 
 
-def guard(spec: dict, labels: set[str], types: set[str], hops: int = 4, rows: int = 50) -> list[str]:
-    """What speaks against running a shape: unknown names, unbounded depth or
-    rows, no tenant, a literal in free text, writes, or an unbound pattern."""
-    out = [f"unknown label {x}" for x in spec.get("labels", []) if x not in labels]
-    out += [f"unknown relationship {x}" for x in spec.get("types", []) if x not in types]
-    if spec.get("hops", 1) > hops:
-        out.append("too many hops")
-    if spec.get("limit") is None or spec["limit"] > rows:
-        out.append("no bound on rows")
-    if not spec.get("workspace"):
-        out.append("no tenant")
-    text = spec.get("text", "")
-    if re.search(r"(?i)\b(create|merge|delete|drop|insert|update|set)\b", text):
-        out.append("writes")
-    if re.search(r"'[^']*'|\"[^\"]*\"", text):
-        out.append("literal in the text: use parameters")
-    if not spec.get("labels") and not spec.get("types"):
-        out.append("unbound pattern")
-    return out
-
-
-def plan_faults(df: DataFrame) -> list[str]:
-    """Joins of a physical plan that grow with the product of their inputs."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return [n for n in ("CartesianProduct", "BroadcastNestedLoopJoin") if n in plan]
-
-
 def plan_cost(plans: DataFrame, a: float = 1.0, b: float = 0.001, g: float = 5.0, d: float = 50.0) -> DataFrame:
     """A depth + b rows + g missing indexes x fan-out + d cartesian, cheapest
     first, ties by id."""
@@ -211,6 +185,14 @@ def match_rank(offers: DataFrame, have: list[str], kind: str) -> DataFrame:
     return ok.withColumn("score", F.size(F.array_intersect("inputs", own)) + F.col("priority")).orderBy(F.desc("score"), "name")
 
 
+def evidence_bundle(rows: DataFrame, required: list[str]) -> DataFrame:
+    """For each subject of rows (subject, slot) the required slots that are covered
+    and missing, in order of name; what is missing is what a retry asks for."""
+    own = rows.groupBy("subject").agg(F.collect_set(F.when(F.col("slot").isin(required), F.col("slot"))).alias("found"))
+    need = F.array(*[F.lit(r) for r in sorted(required)])
+    return own.select("subject", F.array_intersect(need, "found").alias("covered"), F.array_except(need, "found").alias("missing"), (F.size(F.array_except(need, "found")) == 0).alias("complete"))
+
+
 def artifact_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Keys added, removed and changed between two keyed maps (key, value)."""
     j = a.withColumnRenamed("value", "old").join(b.withColumnRenamed("value", "new"), "key", "full_outer")

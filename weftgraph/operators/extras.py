@@ -8,53 +8,40 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .analytics import both_ways, undirected
-
-#: The largest graph whose adjacency is shipped to tasks for betweenness.
-EDGES_MAX = 2_000_000
-
-
-def betweenness(edges: DataFrame, k: int, edges_max: int = EDGES_MAX) -> DataFrame:
-    """The k nodes of greatest betweenness on undirected shortest paths, exact: one
-    accumulation from every source, sources dealt over tasks. Needs the adjacency in each
-    task, so a graph of more than ``edges_max`` pairs is refused."""
-    pairs = undirected(edges)
-    own = pairs.limit(edges_max + 1).toPandas()
-    if len(own) > edges_max:
-        raise ValueError("the graph is too large for exact betweenness")
-    adjacent: dict = {}
-    for x, y in zip(own["a"].tolist(), own["b"].tolist(), strict=True):
-        adjacent.setdefault(x, []).append(y)
-        adjacent.setdefault(y, []).append(x)
-    shared = edges.sparkSession.sparkContext.broadcast(adjacent)  # at most edges_max pairs
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        adj, total = shared.value, {}
-        for df in frames:
-            for s in df["n"].tolist():
-                order, before, paths, dist = [s], {s: []}, {s: 1.0}, {s: 0}
-                for v in order:
-                    for w in adj[v]:
-                        if w not in dist:
-                            dist[w], paths[w], before[w] = dist[v] + 1, 0.0, []
-                            order.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + share[w]
-        yield pd.DataFrame({"node": list(total), "score": list(total.values())}).astype({"node": "int64", "score": "float64"})
-
-    sources = both_ways(pairs).select("n").distinct().repartition("n")
-    part = sources.mapInPandas(run, "node long, score double")
-    return part.groupBy("node").agg(F.round(F.sum("score") / 2, 6).alias("score")).orderBy(F.desc("score"), "node").limit(k)
+from .lineage import cut
+
+def betweenness(edges: DataFrame, k: int, directed: bool = False) -> DataFrame:
+    """The k nodes of greatest betweenness on shortest paths, exact, from every
+    source. Nothing is gathered: counts of paths spread level by level, shares flow back
+    the same way; the state has a row for each pair of nodes with a path, which bounds the
+    graphs that this is for."""
+    e = edges.where("src <> dst").select(F.col("src").alias("v"), F.col("dst").alias("w")).distinct()
+    e = cut(e if directed else e.unionByName(e.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
+    start = e.select(F.explode(F.array("v", "w")).alias("s")).distinct()
+    layers = [cut(start.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")))]
+    seen = layers[0].select("s", "v")
+    while True:
+        step = layers[-1].join(e, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        new = cut(step.join(seen, ["s", "v"], "left_anti"))
+        if new.isEmpty():
+            break
+        layers.append(new)
+        seen = seen.unionByName(new.select("s", "v"))
+    share = layers[-1].select("s", "v", "paths", F.lit(0.0).alias("share"))
+    total = None
+    for upper in reversed(layers[1:-1]):
+        lower = share.select("s", F.col("v").alias("w"), F.col("paths").alias("under"), "share")
+        flow = upper.join(e, "v").join(lower, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("paths") / F.col("under") * (1 + F.col("share"))).alias("share"))
+        share = cut(upper.join(flow, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("share", F.lit(0.0)).alias("share")))
+        part = share.groupBy(F.col("v").alias("node")).agg(F.sum("share").alias("share"))
+        total = part if total is None else total.unionByName(part)
+    nodes = start.select(F.col("s").alias("node"), F.lit(0.0).alias("share"))
+    total = nodes if total is None else total.unionByName(nodes)
+    score = F.round(F.sum("share") / (1 if directed else 2), 6)
+    return total.groupBy("node").agg(score.alias("score")).orderBy(F.desc("score"), "node").limit(k)
 
 
 def path_properties(cols: list[str], identity: list[str], cap: int = 12) -> list[str]:
@@ -69,6 +56,12 @@ def identity_candidates(question: str, kinds: dict[str, str]) -> dict[str, list[
     return {k: [w for w in words if fits.get(t, lambda w: any(c.isdigit() for c in w) or w[:1].isupper())(w)] for k, t in kinds.items()}
 
 
+def identity_words(question: Column, kind: str) -> Column:
+    """P12, as a column: the words of a question that could be values of a key of a type."""
+    fits = {"INTEGER": r"^-?[0-9]+$", "FLOAT": r"^-?[0-9]+(\.[0-9]+)?$"}.get(kind, r"[0-9]|^[A-Z]")
+    return F.filter(F.regexp_extract_all(question, F.lit(r"([\w:.-]+)"), 1), lambda w: w.rlike(fits))
+
+
 def learning_score(found: DataFrame, gold: DataFrame) -> DataFrame:
     """Task, precision, recall and F1 of rows (task, item); a task without gold has
     nulls, not zeros."""
@@ -140,6 +133,17 @@ class Pointer:
         return Pointer(target, self.generation + 1, fence), True
 
 
+def swapped(swaps: DataFrame) -> DataFrame:
+    """X28 over a log of swaps (ordinal, fence, target), each expecting what stands: target,
+    fence and generation at its end. A swap counts if no earlier one had a newer fence."""
+    newest = F.max("fence").over(Window.orderBy(F.col("part")).rowsBetween(Window.unboundedPreceding, -1))
+    dealt = cut(swaps.repartitionByRange("ordinal").withColumn("part", F.spark_partition_id()))
+    tops = dealt.groupBy("part").agg(F.max("fence").alias("fence")).select("part", F.coalesce(newest, F.lit(0)).alias("before"))  # a row a partition
+    inner = F.max("fence").over(Window.partitionBy("part").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1))
+    done = dealt.withColumn("inner", inner).join(tops, "part").where(F.col("fence") >= F.greatest(F.coalesce("inner", F.lit(0)), "before"))
+    return done.agg(F.max_by("target", "ordinal").alias("target"), F.max_by("fence", "ordinal").alias("fence"), F.count(F.lit(1)).cast("int").alias("generation"))
+
+
 def questions(spark: SparkSession, paths: dict[str, str], per_type: int) -> DataFrame:
     """Question files by type, the first of each type in order of id."""
     from functools import reduce
@@ -163,14 +167,14 @@ def fetched(spark: SparkSession, pages: int, fetch: Callable[[int], list[dict]],
     return spark.range(pages).repartition(max(1, min(pages, 64)), "id").mapInPandas(run, schema)
 
 
-def read_pdf(spark: SparkSession, path: str, extract: Callable[[bytes], str]) -> DataFrame:
+def read_pdf(spark: SparkSession, path: str, extract: Callable[[bytes], str], files: str = "*.pdf") -> DataFrame:
     """The text of PDF files by an extractor that the caller brings."""
 
     def text(content):
         return content.map(lambda b: extract(bytes(b)))
 
     text.__annotations__ = {"content": pd.Series, "return": pd.Series}
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("id"), F.pandas_udf(text, "string")("content").alias("content"))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", files).option("recursiveFileLookup", "true").load(path)
+    return found.select(F.col("path").alias("id"), F.pandas_udf(text, "string")("content").alias("content"))
 
 

@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. A local session without one gets a
+    temporary folder; a cluster is refused, as its executors share no disk."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="weft-checkpoints-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path for files of one job."""
+    return f"{shared(spark)}/weft/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; only where none is
-    set (a local session) in a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-checkpoints-"))
+    """A checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint()

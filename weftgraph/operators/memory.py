@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .analytics import ranked_within
+
+
 def N():  # noqa: N802
     return F.count(F.lit(1))
 
@@ -18,9 +21,9 @@ def commit(events: DataFrame) -> DataFrame:
     each event gets the workspace's next sequence and its memory's next revision, and only
     a memory's last revision is canonical."""
     first = events.groupBy("workspace", "key").agg(F.min_by(F.struct("memory_id", "event_type", "payload", "ordinal"), "ordinal").alias("e")).select("workspace", "key", "e.*")
-    by_ws = Window.partitionBy("workspace").orderBy("ordinal")
     by_mem = Window.partitionBy("workspace", "memory_id").orderBy("ordinal")
-    out = first.withColumn("sequence", F.row_number().over(by_ws)).withColumn("revision", F.row_number().over(by_mem))
+    # a workspace's events are numbered in range partitions and by the counts before each
+    out = ranked_within(first, "workspace", "ordinal").withColumn("sequence", F.col("r").cast("int")).drop("r").withColumn("revision", F.row_number().over(by_mem))
     return out.withColumn("supersedes", F.lag("revision").over(by_mem)).withColumn("canonical", F.lead("revision").over(by_mem).isNull())
 
 
@@ -142,3 +145,25 @@ def parity(source: DataFrame, projected: DataFrame, key: str) -> DataFrame:
     """One row: distinct keys on either side and those that only one side has."""
     s, p = source.select(key).distinct().withColumn("s", F.lit(1)), projected.select(key).distinct().withColumn("p", F.lit(1))
     return s.join(p, key, "full_outer").agg(F.count("s").alias("source"), F.count("p").alias("projected"), F.count_if(F.col("p").isNull()).alias("missing"), F.count_if(F.col("s").isNull()).alias("extra"))
+
+
+def state_cases(events: DataFrame) -> DataFrame:
+    """What reads of a history (memory_id, sequence, state) must give: the last state
+    now, the one before at its own sequence, and none before the first: rows (operation,
+    memory_id, at, expected)."""
+    back = F.row_number().over(Window.partitionBy("memory_id").orderBy(F.desc("sequence")))
+    on = F.row_number().over(Window.partitionBy("memory_id").orderBy("sequence"))
+    h = events.withColumn("back", back).withColumn("on", on)
+    now = h.where("back = 1").select(F.lit("current").alias("operation"), "memory_id", F.lit(None).cast("long").alias("at"), F.col("state").alias("expected"))
+    then = h.where("back = 2").select(F.lit("point_in_time").alias("operation"), "memory_id", F.col("sequence").alias("at"), F.col("state").alias("expected"))
+    before = h.where("on = 1 and sequence > 0").select(F.lit("before").alias("operation"), "memory_id", (F.col("sequence") - 1).alias("at"), F.lit(None).cast("string").alias("expected"))
+    return now.unionByName(then).unionByName(before)
+
+
+def qualify_reads(events: DataFrame, cases: DataFrame) -> DataFrame:
+    """Operation, cases, correct and accuracy of reads by ``as_of_join`` against the
+    cases that ``state_cases`` expects."""
+    asked = cases.withColumn("at", F.coalesce("at", F.lit(2**62)))
+    seen = as_of_join(asked.select("memory_id", "at").distinct(), events.select("memory_id", F.col("sequence").alias("at"), "state"), "memory_id", "at", "state")
+    read = asked.join(seen, ["memory_id", "at"], "left").withColumn("ok", F.col("state").eqNullSafe(F.col("expected")))
+    return read.groupBy("operation").agg(N().alias("cases"), F.count_if("ok").alias("correct"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("accuracy"))

@@ -43,7 +43,23 @@ def joined_cells(columns: list[str]) -> Column:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The content column, or all cells; short rows have empty cells."""
     df = spark.read.option("header", "true").option("mode", "PERMISSIVE").option("multiLine", "true").csv(path)
-    return record(df, F.xxhash64(*df.columns), F.col("content") if "content" in df.columns else joined_cells(df.columns))
+    return record(df, F.xxhash64(*df.columns), F.col("content") if "content" in df.columns else joined_cells(df.columns), metadata=other_fields(df, ["content"]))
+
+
+def other_fields(df: DataFrame, taken: list[str]) -> Column:
+    """What else a row says, as metadata: its other fields that are not null,
+    nested ones as JSON."""
+    said = []
+    for f in df.schema:
+        if f.name not in taken:
+            plain = F.col(f"`{f.name}`")
+            said.append(F.struct(F.lit(f.name).alias("k"), (F.to_json(plain) if f.dataType.typeName() in ("struct", "array", "map") else plain.cast("string")).alias("v")))
+    if not said:
+        return F.create_map().cast("map<string,string>")
+    return F.map_from_entries(F.filter(F.array(*said), lambda e: e["v"].isNotNull()))
+
+
+CONTENT = ["id", "content", "text", "document", "references"]
 
 
 def content_of(df: DataFrame) -> Column:
@@ -58,7 +74,7 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """An array or an object, or a document a line of which bad ones are skipped."""
     df = spark.read.option("multiLine", str(not lines).lower()).option("mode", "DROPMALFORMED").json(path)
     ident = F.coalesce(F.col("id").cast("string"), F.hex(F.xxhash64(F.to_json(F.struct("*"))))) if "id" in df.columns else F.hex(F.xxhash64(F.to_json(F.struct("*"))))
-    return record(df, F.substring(ident, 1, 50), content_of(df))
+    return record(df, F.substring(ident, 1, 50), content_of(df), metadata=other_fields(df, CONTENT))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +85,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     if kind in ("json", "jsonl"):
         return read_json(spark, path, lines=kind == "jsonl")
     df = spark.read.parquet(path)
-    return record(df, F.substring(F.col("id").cast("string"), 1, 50) if "id" in df.columns else F.hex(F.xxhash64(*df.columns)), content_of(df))
+    return record(df, F.substring(F.col("id").cast("string"), 1, 50) if "id" in df.columns else F.hex(F.xxhash64(*df.columns)), content_of(df), metadata=other_fields(df, CONTENT))
 
 
 def write_records(records: DataFrame, path: str) -> None:
