@@ -5,8 +5,12 @@ semantics need it (periods, camel case) Java's regex has it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import batched
+
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Legal forms at the end of a company's name (fixed values).
@@ -165,9 +169,10 @@ def token_count(c) -> Column:
 
 
 def citations(c) -> Column:
-    """the distinct [src:id, chunk:n] marks of a text, as id#n."""
-    marks = F.regexp_extract_all(col(c), F.lit(r"\[src:([^,\]]+),\s*chunk:(\d+)\]"), 0)
-    return F.array_sort(F.array_distinct(F.transform(marks, lambda m: F.concat_ws("#", F.regexp_extract(m, r"src:([^,\]]+)", 1), F.regexp_extract(m, r"chunk:(\d+)", 1)))))
+    """the distinct [src:id] and [src:id, chunk:n] marks of a text, as id and id#n."""
+    marks = F.regexp_extract_all(col(c), F.lit(r"\[src:[^\],\s]+(?:,\s*chunk:[0-9]+)?\]"), 0)
+    source, chunk = lambda m: F.regexp_extract(m, r"src:([^\],\s]+)", 1), lambda m: F.regexp_extract(m, r"chunk:([0-9]+)", 1)
+    return F.array_sort(F.array_distinct(F.transform(marks, lambda m: F.when(chunk(m) == "", source(m)).otherwise(F.concat_ws("#", source(m), chunk(m))))))
 
 
 def numbers_in(c) -> Column:
@@ -233,3 +238,49 @@ def gestalt_ratio(a, b) -> Column:
 
     ratio.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
     return F.pandas_udf(ratio, "double")(col(a), col(b))
+
+
+#: Names that one pass over the texts looks for.
+NAMES = 100_000
+
+
+def mentions(docs: DataFrame, names: DataFrame, block: int = NAMES) -> DataFrame:
+    """(name_id, doc_id) of every text that contains a name, in any case, anywhere.
+
+    ``names`` (name_id, name) is a stated list, taken in blocks of ``block``: an automaton
+    of a block's names reads each text (doc_id, text) once, whatever their number. Null
+    and empty names are in no text; equal names are each found."""
+    kinds = f"name_id {names.schema['name_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+    texts = docs.where("text is not null").select("doc_id", F.lower("text").alias("text"))
+    listed = names.where("name <> ''").select("name_id", F.lower("name").alias("name")).toLocalIterator()
+    found = [texts.mapInArrow(_finder([(r["name_id"], r["name"]) for r in part], texts), kinds) for part in batched(listed, block)]
+    out = found[0] if found else texts.select(F.lit(None).alias("name_id"), "doc_id").where("false")
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _finder(names: list[tuple], texts: DataFrame):
+    shared = texts.sparkSession.sparkContext.broadcast(names)  # one block of names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        ids: dict[str, list] = {}
+        for k, name in shared.value:
+            ids.setdefault(name, []).append(k)
+        trie = ahocorasick.Automaton()
+        for name in ids:
+            trie.add_word(name, name)
+        trie.make_automaton()
+        kind = None
+        for batch in batches:
+            rows, of = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for name in {name for _, name in trie.iter(text)}:
+                    rows += ids[name]
+                    of += [i] * len(ids[name])
+            kind = kind or pa.array([k for k, _ in shared.value]).type
+            yield pa.RecordBatch.from_arrays([pa.array(rows, kind), batch.column(0).take(pa.array(of, pa.int64()))], ["name_id", "doc_id"])
+
+    return run

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 from weftgraph.plans.ontology import Ontology
 
 def N():  # noqa: N802
@@ -250,3 +252,46 @@ def grounded_numbers(values: Column, source: Column, tolerance: float = 0.005) -
     tolerance; 1 without numbers."""
     found = F.filter(values, lambda v: F.exists(source, lambda s: F.abs(v - s) <= tolerance * F.greatest(F.abs(v), F.abs(s))))
     return F.when(F.size(values) > 0, F.size(found) / F.size(values)).otherwise(1.0)
+
+
+def schema_atoms(rows: DataFrame) -> DataFrame:
+    """Rows (label, prop, required) as atoms (atom, value) that versions compare."""
+    labels = rows.select(F.concat(F.lit("label "), "label").alias("atom"), F.lit("").alias("value"))
+    props = rows.select(F.concat(F.lit("property "), "label", F.lit("."), "prop").alias("atom"), F.when(F.col("required"), "required").otherwise("").alias("value"))
+    return labels.unionByName(props).distinct()
+
+
+def classify_atoms(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(atom, kind) of the differences of two versions' atoms: what is added is
+    read by old readers (BACKWARD) unless it is required (FORWARD); what goes, or changes
+    but to become required, breaks them."""
+    j = old.withColumnRenamed("value", "was").join(new.withColumnRenamed("value", "now"), "atom", "full_outer")
+    added = F.when(F.col("now").endswith("required"), "FORWARD").otherwise("BACKWARD")
+    changed = F.when(F.trim("was") == F.trim(F.regexp_replace("now", "required$", "")), "BACKWARD").otherwise("BREAKING")
+    kind = F.when(F.col("now").isNull(), "BREAKING").when(F.col("was").isNull(), added).otherwise(changed)
+    return j.where(~F.col("was").eqNullSafe(F.col("now"))).select("atom", kind.alias("kind"))
+
+
+def closure(kinds: DataFrame) -> DataFrame:
+    """(label, ancestor) of all that rows (child, parent) imply, each label its own
+    ancestor. Reach doubles each round; cycles end it like anything else."""
+    own = kinds.select(F.explode(F.array("child", "parent")).alias("label")).distinct().select("label", F.col("label").alias("ancestor"))
+    now = cut(own.unionByName(kinds.select(F.col("child").alias("label"), F.col("parent").alias("ancestor"))).distinct())
+    n = now.count()
+    while True:
+        step = now.select("label", F.col("ancestor").alias("via")).join(now.select(F.col("label").alias("via"), "ancestor"), "via")
+        now = cut(step.select("label", "ancestor").distinct())
+        found = now.count()
+        if found == n:
+            return now
+        n = found
+
+
+def bridged(closed: DataFrame, terms: DataFrame) -> DataFrame:
+    """Terms (root, alias) as (label, alias) of the root and all that are kinds of it."""
+    return closed.join(terms, closed["ancestor"] == terms["root"]).select("label", "alias").distinct()
+
+
+def root_candidates(closed: DataFrame, k: int) -> DataFrame:
+    """The k labels that most others are kinds of."""
+    return closed.where("label <> ancestor").groupBy(F.col("ancestor").alias("root")).agg(N().alias("descendants")).orderBy(F.desc("descendants"), "root").limit(k)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .analytics import triangles
+
 DAY = 86_400
 
 
@@ -27,15 +29,33 @@ def capped(edges: DataFrame, degree_max: int) -> DataFrame:
 
 
 def rings(edges: DataFrame, degree_max: int | None = None, extra: Column | None = None) -> DataFrame:
-    """Directed 3-cycles a -> b -> c -> a, each once, a the least. ``extra`` may test the
-    columns of the three edges, named e1, e2 and e3. Rows that differ only in their
-    edges are one ring."""
+    """Directed 3-cycles a -> b -> c -> a, each once, a the least, over all edges.
+
+    Without conditions on single edges, triangles are closed from their node of least
+    degree, so a hub costs its edges and not their square. ``extra`` may test the columns
+    of the three edges, named e1, e2 and e3; ``degree_max`` is the stated bound on a
+    source's edges that D2 may be given. Rows that differ only in their edges are one
+    ring."""
     e = capped(edges, degree_max) if degree_max is not None else edges
+    if extra is None:
+        return _cycles(e)
     one, two, three = e.alias("e1"), e.alias("e2"), e.alias("e3")
     up = one.where("e1.src < e1.dst").join(two, F.col("e1.dst") == F.col("e2.src")).where("e2.dst > e1.src and e2.dst <> e2.src")
     closed = up.join(three, (F.col("e2.dst") == F.col("e3.src")) & (F.col("e3.dst") == F.col("e1.src")))
-    closed = closed.where(extra) if extra is not None else closed
-    return closed.select(F.col("e1.src").alias("a"), F.col("e1.dst").alias("b"), F.col("e2.dst").alias("c")).distinct()
+    return closed.where(extra).select(F.col("e1.src").alias("a"), F.col("e1.dst").alias("b"), F.col("e2.dst").alias("c")).distinct()
+
+
+def _cycles(edges: DataFrame) -> DataFrame:
+    ways = F.bit_or(F.when(F.col("src") < F.col("dst"), 1).otherwise(2))
+    pairs = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(ways.alias("w"))
+    t = triangles(pairs)
+    # u the apex, v < w the others; the ways of each side: 1 with, 2 against
+    with_, against = lambda c: F.col(c).bitwiseAND(1) != 0, lambda c: F.col(c).bitwiseAND(2) != 0
+    found = F.array(F.when(with_("uv") & with_("vw") & against("uw"), F.array("u", "v", "w")), F.when(with_("uw") & against("vw") & against("uv"), F.array("u", "w", "v")))
+    r = t.select(F.explode(F.filter(found, lambda c: c.isNotNull())).alias("r"))
+    first = F.array_position("r", F.array_min("r")).cast("int") - 1
+    at = lambda i: F.get("r", (first + i) % 3)
+    return r.select(at(0).alias("a"), at(1).alias("b"), at(2).alias("c"))
 
 
 def funnels(inflow: DataFrame, outflow: DataFrame, senders_min: int, slack: int, share: float) -> DataFrame:

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,15 +112,20 @@ def aliases(names: DataFrame) -> DataFrame:
     return g.select("name", F.when(F.size("c") == 1, F.col("c")[0]).otherwise("").alias("canonical"), F.array_min("c").alias("reconciled"), F.size("c").alias("candidates"))
 
 
-def candidate_pairs(proxies: DataFrame, vectors: float | None = None) -> DataFrame:
-    """Pairs a < b of proxies (id, name) by equal name key (1.0) or by one name's words
-    beginning the other's (0.9). The first word is the block, equal names meet once."""
-    p = proxies.select("id", name_key("name").alias("k"))
-    names = p.select("k").distinct().withColumn("block", F.split("k", " ")[0])
-    x, y = names.toDF("ka", "block"), names.toDF("kb", "block")
-    near = x.join(y, "block").where((F.col("ka") == F.col("kb")) | F.col("ka").startswith(F.concat("kb", F.lit(" ")))).withColumn("score", F.when(F.col("ka") == F.col("kb"), 1.0).otherwise(0.9)).drop("block")
-    a, b = p.toDF("ia", "ka"), p.toDF("ib", "kb")
-    return near.join(a, "ka").join(b, "kb").where((F.col("ka") != F.col("kb")) | (F.col("ia") < F.col("ib"))).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "score").distinct()
+def candidate_pairs(proxies: DataFrame) -> DataFrame:
+    """Pairs of proxies (id, name) by equal name key (1.0) or by one name's words
+    beginning the other's (0.9), as links of representatives: equal names are a class, each
+    member linked to the one of least id; classes meet through those. Every link is there,
+    directly or through them, in rows that grow with the proxies. Each name meets its own
+    beginnings by equality."""
+    p = proxies.select("id", name_key("name").alias("k")).where("k <> ''")
+    first = p.groupBy("k").agg(F.min("id").alias("first"))
+    same = p.join(first, "k").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    words = F.split("k", " ")
+    begins = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+    longer = first.where(F.size(words) > 1).select(F.col("first").alias("other"), F.explode(begins).alias("k"))
+    near = longer.join(first, "k").select(F.least("first", "other").alias("a"), F.greatest("first", "other").alias("b"), F.lit(0.9).alias("score"))
+    return same.unionByName(near.distinct())
 
 
 def clusters(pairs: DataFrame, apart: DataFrame) -> DataFrame:
@@ -127,14 +133,35 @@ def clusters(pairs: DataFrame, apart: DataFrame) -> DataFrame:
     return components(pairs.join(apart, ["a", "b"], "left_anti").select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
+#: Vectors of a label that are compared in one piece with as many others.
+VECTORS = 1024
+
+
 def embedding_duplicates(vectors: DataFrame, block: str, threshold: float) -> DataFrame:
     """Pairs a < b of one block whose unit vectors (id, v) have an inner product of at
     least ``threshold``. The canonical of a group is its least id: unlike a greedy pass,
-    this does not depend on the order of arrival."""
-    x = vectors.select(block, F.col("id").alias("a"), F.col("v").alias("va"))
-    y = vectors.select(block, F.col("id").alias("b"), F.col("v").alias("vb"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    return x.join(y, block).where("a < b").withColumn("similarity", dot).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    this does not depend on the order of arrival.
+
+    A block's vectors are dealt to pieces of ``VECTORS``, and pairs of pieces are compared
+    as matrices, each in a task row of bounded size: no pair is a row unless it is close."""
+    sizes = vectors.groupBy(block).agg(F.ceil(N() / VECTORS).cast("int").alias("pieces"))
+    dealt = vectors.join(sizes, block).withColumn("own", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    sides = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j")))
+    pairs = dealt.select(block, "id", "v", "own", F.inline(sides)).groupBy(block, "i", "j").agg(F.collect_list(F.struct("id", "own", "v")).alias("m"))
+
+    def run(batches):
+        for batch in batches:
+            for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids, own, v = (members.values.field(k) for k in range(3))
+                ids, own = ids.to_numpy(), own.to_numpy()
+                x = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), -1)
+                left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
+                dots = x[left] @ x[right].T
+                p, q = np.nonzero((dots >= threshold) & ((ids[left][:, None] < ids[right][None, :]) | (i != j)))
+                a, b = ids[left[p]], ids[right[q]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(dots[p, q])], ["a", "b", "similarity"])
+
+    return pairs.select("i", "j", "m").mapInArrow(run, "a long, b long, similarity double")
 
 
 def relatedness(overlap: Column, candidates: Column, cosine: Column, lexical: Column) -> Column:
@@ -142,45 +169,22 @@ def relatedness(overlap: Column, candidates: Column, cosine: Column, lexical: Co
     return F.when(candidates == 0, "bootstrap").when(overlap / candidates >= 0.5, "overlap").when(cosine >= 0.72, "embedding").when(lexical >= 0.2, "lexical").otherwise("unrelated")
 
 
-def _vote(tolerance: float):
-    def vote(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One vote a source; values that agree within the tolerance, or through others
-        that do, are one group; a strict majority of two or more sources wins, and in it
-        the value of most digits."""
-        own = pdf.sort_values(["source", "digits", "raw"], ascending=[True, False, True]).drop_duplicates("source").reset_index(drop=True)
-        root = list(range(len(own)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for i in range(len(own)):
-            for j in range(i):
-                x, y = own.value[i], own.value[j]
-                if own.percent[i] == own.percent[j] and abs(x - y) <= tolerance * max(abs(x), abs(y)):
-                    root[find(i)] = find(j)
-        own = own.assign(group=[find(i) for i in range(len(own))])
-        sizes = own.groupby("group").size().sort_values(ascending=False)
-        won = len(own) > 1 and sizes.iloc[0] >= 2 and sizes.iloc[0] > len(own) / 2
-        out = {"key": pdf["key"].iloc[0], "sources": len(own), "survivor": None, "status": "single" if len(own) == 1 else "quarantine"}
-        if len(own) == 1:
-            out["survivor"] = own.raw[0]
-        elif won:
-            best = own[own.group == sizes.index[0]].sort_values(["digits", "raw"], ascending=[False, True])
-            out |= {"survivor": best.raw.iloc[0], "status": "survived"}
-        return pd.DataFrame([out])
-
-    return vote
-
-
 def survivorship(facts: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """Facts (key, source, raw, value, percent, digits): what survives of each
-    key. A group is a panel of sources: its size is the number of sources, and repeats of
-    a source are cut to one before it is gathered."""
-    w = Window.partitionBy("key", "source").orderBy(F.desc("digits"), "raw")
-    one = facts.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
-    return one.groupBy("key").applyInPandas(_vote(tolerance), "key string, sources long, survivor string, status string")
+    """Facts (key, source, raw, value, percent, digits): key, sources, survivor
+    and status of each key. One vote a source, its value of most digits; in order of value,
+    those that agree with the one before within the tolerance are one group; a strict
+    majority of two or more sources wins, and in it the value of most digits."""
+    best = Window.partitionBy("key", "source").orderBy(F.desc("digits"), "raw")
+    one = facts.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    by_value = Window.partitionBy("key", "percent").orderBy("value", "source")
+    before = F.lag("value").over(by_value)
+    apart = before.isNull() | (F.abs(F.col("value") - before) > tolerance * F.greatest(F.abs(F.col("value")), F.abs(before)))
+    own = one.withColumn("new", apart.cast("int")).withColumn("group", F.sum("new").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = own.groupBy("key", "percent", "group").agg(N().alias("size"), F.min_by("raw", F.struct(-F.col("digits"), F.col("raw"))).alias("raw"))
+    keys = groups.groupBy("key").agg(F.sum("size").alias("sources"), F.max_by(F.struct("size", "raw"), F.struct("size", "raw")).alias("top"))
+    single = F.col("sources") == 1
+    won = (F.col("top.size") >= 2) & (2 * F.col("top.size") > F.col("sources"))
+    return keys.select("key", "sources", F.when(single | won, F.col("top.raw")).alias("survivor"), F.when(single, "single").when(won, "survived").otherwise("quarantine").alias("status"))
 
 
 def federated(parts: dict[str, DataFrame]) -> DataFrame:

@@ -116,14 +116,15 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def route(graphs: DataFrame, question: str, k: int, strict: bool = False) -> DataFrame:
-    """Graphs (name, metadata, blocked) by words of the question in their
-    metadata. Blocked ones are skipped; unless strict, the best stands in for none."""
+    """The k graphs (name, metadata, blocked) with most words of the question in
+    their metadata. Blocked ones are skipped; unless strict, the best stands in for none."""
     asked = F.array(*[F.lit(w) for w in sorted(set(question.lower().split()))])
-    own = graphs.where(~F.col("blocked")).withColumn("score", F.size(F.array_intersect(tokens("metadata"), asked)))
-    w = Window.orderBy(F.desc("score"), "name")  # the graphs of a deployment
-    ranked = own.withColumn("r", F.row_number().over(w))
-    keep = (F.col("score") > 0) & (F.col("r") <= k)
-    return ranked.where(keep if strict else keep | (F.col("r") == 1)).select("name", "score")
+    own = graphs.where(~F.col("blocked")).select("name", F.size(F.array_intersect(tokens("metadata"), asked)).alias("score"))
+    top = own.orderBy(F.desc("score"), "name").limit(k)
+    if strict:
+        return top.where("score > 0")
+    best = F.row_number().over(Window.orderBy(F.desc("score"), "name"))  # k rows
+    return top.withColumn("r", best).where("score > 0 or r = 1").select("name", "score")
 
 
 def contains_any(c, words: list[str]) -> Column:
