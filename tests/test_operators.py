@@ -8,6 +8,7 @@ from weftgraph.operators import analytics as a
 from weftgraph.operators import constraints as c
 from weftgraph.operators import detect as d
 from weftgraph.operators import evaluate as e
+from weftgraph.operators import guards as g
 from weftgraph.operators import memory as m
 from weftgraph.operators import resolve as r
 from weftgraph.operators import retrieval as v
@@ -162,11 +163,11 @@ def test_rules_of_a_small_table(spark):
 
 
 def test_guards_and_costs(spark):
-    assert e.guard({"labels": ["A"], "limit": 10, "workspace": "w"}, {"A"}, set()) == []
-    bad = e.guard({"types": ["X"], "hops": 9, "text": "MATCH (n {a:'b'}) DELETE n"}, {"A"}, {"R"})
-    assert {"unknown relationship X", "too many hops", "no bound on rows", "no tenant", "writes", "literal in the text: use parameters"} == set(bad)
-    one = spark.range(3)
-    assert e.plan_faults(one.crossJoin(one)) and not e.plan_faults(one)
+    q = spark.createDataFrame([(1, "MATCH (n {a:'DROP it'}) RETURN n LIMIT 5"), (2, "MATCH (n:X)-[:R*]->(m:A) DELETE n"), (3, None)], "id long, text string")
+    lim = g.Limits(labels=("A",), types=("R",), ends={"R": ("A", "A")})
+    assert rows(g.guard(q, lim), "id", "finding") == [(2, "direction:R", "block"), (2, "label:X", "block"), (2, "unbounded", "block"), (2, "write:DELETE", "block")]
+    found = g.plan_operators(spark.range(3).crossJoin(spark.range(3)))
+    assert found.where("operator in ('CartesianProduct', 'BroadcastNestedLoopJoin')").count() == 1
     assert a.projection_bytes(10, 10, 10**9)["allowed"] and not a.projection_bytes(10**9, 10**9, 10**9)["allowed"]
 
 

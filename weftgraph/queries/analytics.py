@@ -79,12 +79,21 @@ def connected(spark, sf):
     return a.components(_copies(spark, sf))
 
 
-@query("label_communities", "N6 N19")
+#: Ten rounds of votes, one after the other.
+VOTES = ", ".join(f"l{i + 1} AS MATERIALIZED (SELECT n, l FROM (SELECT n, l, row_number() OVER (PARTITION BY n ORDER BY COUNT(*) DESC, l) AS r FROM (SELECT u.a AS n, l{i}.l FROM u JOIN l{i} ON l{i}.n = u.b UNION ALL SELECT n, l FROM l{i}) GROUP BY n, l) WHERE r = 1)" for i in range(10))
+
+
+@query("label_communities", "N6 N19", f"WITH {COPIES}, l0 AS (SELECT DISTINCT a AS n, a AS l FROM u), {VOTES}, r AS (SELECT n, l, row_number() OVER (PARTITION BY l ORDER BY n) AS r FROM l10) SELECT l AS community, COUNT(*) AS size, string_agg(CASE WHEN r <= 6 THEN CAST(n AS VARCHAR) END, ',' ORDER BY n) AS sample FROM r GROUP BY l")
 def communities(spark, sf):
-    return a.community_samples(a.label_propagation(_copies(spark, sf)))
+    found = a.community_samples(a.label_propagation(_copies(spark, sf)))
+    return found.withColumn("sample", F.array_join("sample", ","))
+
+
+#: Twenty rounds of ranks.
+RANKS = ", ".join(f"r{i + 1} AS MATERIALIZED (SELECT n.node, n.d, 0.15 / c.n + 0.85 * (COALESCE(g.r, 0.0) + z.idle / c.n) AS rank FROM nodes n CROSS JOIN c CROSS JOIN (SELECT COALESCE(SUM(rank) FILTER (WHERE d IS NULL), 0.0) AS idle FROM r{i}) z LEFT JOIN (SELECT e.dst AS node, SUM(s.rank / s.d) AS r FROM parts e JOIN r{i} s ON s.node = e.src GROUP BY 1) g ON g.node = n.node)" for i in range(20))
 
 
-@query("pagerank_topk", "N17")
+@query("pagerank_topk", "N17", f"WITH {PARTS}, o AS (SELECT src, COUNT(*) AS d FROM parts GROUP BY src), nodes AS MATERIALIZED (SELECT node, o.d FROM (SELECT src AS node FROM parts UNION SELECT dst FROM parts) LEFT JOIN o ON o.src = node), c AS (SELECT CAST(COUNT(*) AS DOUBLE) AS n FROM nodes), r0 AS (SELECT node, d, 1 / c.n AS rank FROM nodes, c), {RANKS} SELECT node, round(rank, 9) AS rank FROM r20 ORDER BY 2 DESC, 1 LIMIT 10")
 def pagerank(spark, sf):
     return a.pagerank(parts(spark, sf)).withColumn("rank", F.round("rank", 9)).orderBy(F.desc("rank"), "node").limit(10)
 

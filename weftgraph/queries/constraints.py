@@ -114,9 +114,9 @@ def axioms(spark, sf):
     return c.mine_axioms(transfers(spark, sf).select(F.lit("T").alias("type"), "src", "dst"))
 
 
-@query("disjoint_segments", "R22", "WITH m AS (SELECT DISTINCT c_nationkey AS id, c_mktsegment AS label FROM customer WHERE c_custkey < 30), s AS (SELECT DISTINCT label FROM m) SELECT a.label AS a, b.label AS b FROM s a JOIN s b ON a.label < b.label WHERE NOT EXISTS (SELECT 1 FROM m x JOIN m y ON x.id = y.id AND x.label = a.label AND y.label = b.label)")
+@query("disjoint_segments", "R22", "WITH m AS (SELECT DISTINCT c_nationkey AS id, c_mktsegment AS label FROM customer WHERE c_acctbal > 9000), s AS (SELECT DISTINCT label FROM m) SELECT a.label AS a, b.label AS b FROM s a JOIN s b ON a.label < b.label WHERE NOT EXISTS (SELECT 1 FROM m x JOIN m y ON x.id = y.id AND x.label = a.label AND y.label = b.label)")
 def disjoint(spark, sf):
-    return c.disjoint_labels(table(spark, sf, "customer").where("c_custkey < 30").select(F.col("c_nationkey").alias("id"), F.col("c_mktsegment").alias("label")))
+    return c.disjoint_labels(table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("id"), F.col("c_mktsegment").alias("label")))
 
 
 @query("composition_rule", "R23", f"WITH {TRANSFERS}, b AS (SELECT DISTINCT src AS x, s_nationkey AS z FROM transfers JOIN supplier ON s_suppkey = dst), h AS (SELECT c_custkey AS x, c_nationkey AS z FROM customer) SELECT COUNT(*) AS body, COUNT(h.x) AS head, COUNT(h.x) / COUNT(*) AS confidence FROM b LEFT JOIN h USING (x, z)")
@@ -161,24 +161,56 @@ def temporal(spark, sf):
     return c.sanity(e, "2024-01-20 00:00:00")
 
 
-@query("compatibility_atoms", "R15 R16 T8", "SELECT * FROM (VALUES ('label Tax', 'BACKWARD'), ('property Part.size', 'BREAKING'), ('property Tax.id', 'FORWARD'), ('relationship IN_REGION', 'BREAKING')) AS t(atom, kind)")
+@query("compatibility_atoms", "R15 R16 T8", "WITH o AS (SELECT DISTINCT p_brand AS l, p_type AS p FROM part WHERE p_size <= 45), n AS (SELECT DISTINCT p_brand AS l, p_type AS p FROM part WHERE p_size >= 5), a AS (SELECT 'label ' || l AS x, '' AS v FROM o UNION SELECT 'property ' || l || '.' || p, CASE WHEN p = 'STANDARD' THEN 'required' ELSE '' END FROM o), b AS (SELECT 'label ' || l AS x, '' AS v FROM n UNION SELECT 'property ' || l || '.' || p, CASE WHEN p = 'STANDARD' THEN 'required' ELSE '' END FROM n) SELECT COALESCE(a.x, b.x) AS atom, CASE WHEN b.x IS NULL THEN 'BREAKING' WHEN b.v = 'required' THEN 'FORWARD' ELSE 'BACKWARD' END AS kind FROM a FULL JOIN b ON a.x = b.x WHERE a.x IS NULL OR b.x IS NULL")
 def compatibility(spark, sf):
-    from dataclasses import replace
+    """Two schemas read from the parts: brands are labels, types their properties."""
+    p = table(spark, sf, "part")
+
+    def schema(of):
+        rows = p.where(of).select(F.col("p_brand").alias("label"), F.col("p_type").alias("prop"), (F.col("p_type") == "STANDARD").alias("required")).distinct()
+        return c.schema_atoms(rows)
+
+    return c.classify_atoms(schema("p_size <= 45"), schema("p_size >= 5"))
+
+
+KINDS = "k AS (SELECT DISTINCT p_brand AS child, p_type AS parent FROM part UNION SELECT DISTINCT p_type, 'size ' || (p_size // 10) FROM part)"
+
+
+def _kinds(spark, sf):
+    """Brands as kinds of types, types as kinds of decades of sizes."""
+    p = table(spark, sf, "part")
+    size = F.concat(F.lit("size "), F.floor(F.col("p_size") / 10).cast("string"))
+    return p.select(F.col("p_brand").alias("child"), F.col("p_type").alias("parent")).unionByName(p.select(F.col("p_type").alias("child"), size.alias("parent"))).distinct()
 
-    from weftgraph.plans.ontology import NodeType, Property, classify_change
 
-    nodes = dict(DEMO.nodes) | {"Tax": NodeType({"id": Property("INTEGER", unique=True, required=True)})}
-    nodes["Part"] = replace(nodes["Part"], properties={k: v for k, v in nodes["Part"].properties.items() if k != "size"})
-    new = replace(DEMO, nodes=nodes, relations={k: v for k, v in DEMO.relations.items() if k != "IN_REGION"})
-    return spark.createDataFrame(classify_change(DEMO, new), "atom string, kind string")
+CLOSED = f"WITH RECURSIVE {KINDS}, r(label, ancestor) AS (SELECT child, child FROM k UNION SELECT parent, parent FROM k UNION SELECT r.label, k.parent FROM r JOIN k ON k.child = r.ancestor)"
 
 
-@query("isa_closure", "X14 X15 X16", "SELECT * FROM (VALUES ('Customer', 'Customer'), ('Customer', 'Party'), ('Nation', 'Nation'), ('Part', 'Part'), ('Party', 'Party'), ('Region', 'Region'), ('Supplier', 'Party'), ('Supplier', 'Supplier')) AS t(label, ancestor)")
+@query("isa_closure", "X14", f"{CLOSED} SELECT label, ancestor FROM r")
 def isa(spark, sf):
-    return DEMO.isa(spark)
+    return c.closure(_kinds(spark, sf))
+
+
+@query("alias_bridge", "X15", f"{CLOSED} SELECT label, 'thing of ' || ancestor AS alias FROM r WHERE starts_with(ancestor, 'size ')")
+def bridge(spark, sf):
+    """A term given to a root is one of all that are kinds of it."""
+    k = c.closure(_kinds(spark, sf))
+    terms = k.where("ancestor like 'size %'").select(F.col("ancestor").alias("root"), F.concat(F.lit("thing of "), "ancestor").alias("alias")).distinct()
+    return c.bridged(k, terms)
+
+
+@query("root_candidates", "X16", f"{CLOSED} SELECT ancestor AS root, COUNT(*) - 1 AS descendants FROM r GROUP BY 1 HAVING COUNT(*) > 1 ORDER BY descendants DESC, root LIMIT 5")
+def roots(spark, sf):
+    return c.root_candidates(c.closure(_kinds(spark, sf)), 5)
 
 
-@query("grounded_numbers", "R35 F29", "SELECT o_orderkey, CAST(0.5 AS DOUBLE) AS grounded FROM orders")
+@query("grounded_numbers", "R35 F29", "SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN 1000 * (o_custkey % 50) BETWEEN o_totalprice * 0.995 AND o_totalprice / 0.995 OR abs(1000.0 * (o_custkey % 50) - (o_orderkey % 50) * 1000.0) <= 0.005 * greatest(1000.0 * (o_custkey % 50), (o_orderkey % 50) * 1000.0) THEN 1 ELSE 0 END) / 2 AS grounded FROM orders WHERE o_totalprice > 1000")
 def grounded(spark, sf):
-    said = F.array(F.col("o_totalprice"), F.lit(-1.0))
-    return table(spark, sf, "orders").select("o_orderkey", c.grounded_numbers(said, F.array(F.col("o_totalprice") * 1.001)).alias("grounded"))
+    """An answer's two numbers, read from text, against its source's: the total (wrong in
+    a third of the orders) and a rounded thousand."""
+    from weftgraph.functions.text import numbers_in
+
+    wrong = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice") * 1.001)
+    said = F.concat(F.format_string("%.2f", wrong), F.lit(" and "), (F.col("o_custkey") % 50).cast("string"), F.lit(" thousand"))
+    source = F.array(F.col("o_totalprice"), (F.col("o_orderkey") % 50) * 1000.0)
+    return table(spark, sf, "orders").where("o_totalprice > 1000").select("o_orderkey", c.grounded_numbers(numbers_in(said), source).alias("grounded"))

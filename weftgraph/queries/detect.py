@@ -21,9 +21,18 @@ def funnel(spark, sf):
     return d.funnels(t.where("channel = 'A'"), back, 20, 400_000_000, 0.01)
 
 
-@query("ring_3cycle", "D2 N12 G26 F30", f"""WITH {PARTS}, few AS (SELECT src FROM parts GROUP BY src HAVING COUNT(*) <= 25), e AS (SELECT * FROM parts WHERE src IN (SELECT src FROM few)) SELECT DISTINCT e1.src AS a, e1.dst AS b, e2.dst AS c FROM e e1 JOIN e e2 ON e1.dst = e2.src JOIN e e3 ON e2.dst = e3.src AND e3.dst = e1.src WHERE e1.src < e1.dst AND e2.dst > e1.src""")
+RING = "SELECT DISTINCT e1.src AS a, e1.dst AS b, e2.dst AS c FROM {0} e1 JOIN {0} e2 ON e1.dst = e2.src JOIN {0} e3 ON e2.dst = e3.src AND e3.dst = e1.src WHERE e1.src < e1.dst AND e2.dst > e1.src"
+
+
+@query("ring_3cycle", "D2 G26 F30", f"WITH {PARTS} {RING.format('parts')}")
 def ring(spark, sf):
-    return d.rings(parts(spark, sf), 25)
+    return d.rings(parts(spark, sf))
+
+
+@query("ring_3cycle_bounded", "D2 N12", f"WITH {PARTS}, few AS (SELECT src FROM parts GROUP BY src HAVING COUNT(*) <= 40), e AS (SELECT * FROM parts WHERE src IN (SELECT src FROM few)) {RING.format('e')}")
+def ring_bounded(spark, sf):
+    """The detector with its stated bound: sources of at most 40 edges."""
+    return d.rings(parts(spark, sf), 40)
 
 
 @query("ring_selectivity_funnel", "D8 A3", f"""WITH {PARTS}, r AS (SELECT e1.src AS a, e1.dst AS b, e2.dst AS c FROM parts e1 JOIN parts e2 ON e1.dst = e2.src JOIN parts e3 ON e2.dst = e3.src AND e3.dst = e1.src WHERE e1.src < e1.dst AND e2.dst > e1.src) SELECT COUNT(*) AS rings, COUNT(*) FILTER (WHERE a % 2 = 0) AS even_start, COUNT(*) FILTER (WHERE a % 2 = 0 AND b % 2 = 0) AS even_pair, COUNT(*) FILTER (WHERE a % 2 = 0 AND b % 2 = 0 AND c % 2 = 0) AS even_all FROM r""")

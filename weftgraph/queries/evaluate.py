@@ -18,14 +18,14 @@ def token_f1(spark, sf):
     return table(spark, sf, "part").select("p_partkey", x.token_f1(x.tokens("p_name"), x.tokens(F.concat_ws(" ", "p_type", "p_name"))).alias("f1"))
 
 
-RANKED = "r AS (SELECT user_id AS query, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, event_type = 'purchase' AS relevant, CAST(value AS DOUBLE) AS gain, event_id FROM events WHERE event_id < 3000)"
+RANKED = "r AS (SELECT user_id AS query, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, event_type = 'purchase' AS relevant, CAST(value AS DOUBLE) AS gain, event_id FROM events)"
 
 
 def _ranked(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    return table(spark, sf, "events").where("event_id < 3000").select(F.col("user_id").alias("query"), F.row_number().over(w).alias("rank"), (F.col("event_type") == "purchase").alias("relevant"), F.col("value").alias("gain"), F.col("event_id").alias("item"))
+    return table(spark, sf, "events").select(F.col("user_id").alias("query"), F.row_number().over(w).alias("rank"), (F.col("event_type") == "purchase").alias("relevant"), F.col("value").alias("gain"), F.col("event_id").alias("item"))
 
 
 @query("hit_mrr", "E3 E4", f"WITH {RANKED}, f AS (SELECT query, MIN(CASE WHEN relevant THEN rank END) AS f FROM r GROUP BY query) SELECT round(avg(CASE WHEN COALESCE(f, 99) <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit, round(avg(COALESCE(1.0 / f, 0.0)), 6) AS mrr FROM f")
@@ -38,9 +38,9 @@ def ndcg(spark, sf):
     return e.ndcg(_ranked(spark, sf).withColumn("gain", F.col("relevant").cast("double")), 5)
 
 
-@query("kendall", "E5", "WITH r AS (SELECT user_id AS query, event_id AS item, value AS x, event_id % 13 AS y FROM events WHERE event_id < 1500), s AS (SELECT a.query, SUM(sign((a.x - b.x) * (a.y - b.y))) AS s, COUNT(*) AS n FROM r a JOIN r b ON a.query = b.query AND a.item < b.item GROUP BY a.query) SELECT DISTINCT r.query, round(COALESCE(s / n, 1.0), 6) AS tau FROM r LEFT JOIN s ON s.query = r.query")
+@query("kendall", "E5", "WITH r AS (SELECT user_id AS query, event_id AS item, value AS x, event_id % 13 AS y FROM events), s AS (SELECT a.query, SUM(sign((a.x - b.x) * (a.y - b.y))) AS s, COUNT(*) AS n FROM r a JOIN r b ON a.query = b.query AND a.item < b.item GROUP BY a.query) SELECT DISTINCT r.query, round(COALESCE(s / n, 1.0), 6) AS tau FROM r LEFT JOIN s ON s.query = r.query")
 def kendall(spark, sf):
-    rows = table(spark, sf, "events").where("event_id < 1500").select(F.col("user_id").alias("query"), F.col("event_id").alias("item"), F.col("value").alias("x"), (F.col("event_id") % 13).alias("y"))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("query"), F.col("event_id").alias("item"), F.col("value").alias("x"), (F.col("event_id") % 13).alias("y"))
     return e.kendall(rows)
 
 
@@ -61,9 +61,9 @@ def quorum(spark, sf):
     return e.quorum(table(spark, sf, "events").select(F.col("user_id").alias("question"), F.col("event_type").alias("answer")), 20)
 
 
-@query("citation_agreement", "E8 F27", "WITH c AS (SELECT user_id % 3 AS round, event_type AS agent, list_distinct(list(user_id)) AS cites FROM events WHERE event_id < 300 GROUP BY 1, 2) SELECT CAST(a.round AS INTEGER) AS round, round(avg(len(list_intersect(a.cites, b.cites)) / len(list_distinct(list_concat(a.cites, b.cites)))), 6) AS jaccard FROM c a JOIN c b ON a.round = b.round AND a.agent < b.agent GROUP BY 1")
+@query("citation_agreement", "E8 F27", "WITH c AS (SELECT user_id % 3 AS round, event_type AS agent, list_distinct(list(user_id)) AS cites FROM events GROUP BY 1, 2) SELECT CAST(a.round AS INTEGER) AS round, round(avg(len(list_intersect(a.cites, b.cites)) / len(list_distinct(list_concat(a.cites, b.cites)))), 6) AS jaccard FROM c a JOIN c b ON a.round = b.round AND a.agent < b.agent GROUP BY 1")
 def citations(spark, sf):
-    rows = table(spark, sf, "events").where("event_id < 300").groupBy((F.col("user_id") % 3).cast("int").alias("round"), F.col("event_type").alias("agent")).agg(F.collect_set("user_id").alias("cites"))
+    rows = table(spark, sf, "events").groupBy((F.col("user_id") % 3).cast("int").alias("round"), F.col("event_type").alias("agent")).agg(F.collect_set("user_id").alias("cites"))
     return e.citation_agreement(rows)
 
 
@@ -103,15 +103,15 @@ def granted(spark, sf):
     return e.granted(table(spark, sf, "documents"), grants, "ann").groupBy("source").agg(N().alias("n"))
 
 
-@query("risk_disposition", "J5 D12", "WITH s AS (SELECT user_id AS subject, CASE event_type WHEN 'error' THEN 'high' WHEN 'signup' THEN 'medium' ELSE 'low' END AS severity, event_id % 3 AS hops FROM events WHERE event_id < 1000) SELECT subject, CASE WHEN MAX(CASE WHEN severity = 'high' AND hops <= 1 THEN 1 ELSE 0 END) = 1 THEN 'block' WHEN MAX(CASE WHEN severity IN ('high', 'medium') THEN 1 ELSE 0 END) = 1 THEN 'review' ELSE 'allow' END AS disposition FROM s GROUP BY subject")
+@query("risk_disposition", "J5 D12", "WITH s AS (SELECT user_id AS subject, CASE event_type WHEN 'error' THEN 'high' WHEN 'signup' THEN 'medium' ELSE 'low' END AS severity, event_id % 3 AS hops FROM events) SELECT subject, CASE WHEN MAX(CASE WHEN severity = 'high' AND hops <= 1 THEN 1 ELSE 0 END) = 1 THEN 'block' WHEN MAX(CASE WHEN severity IN ('high', 'medium') THEN 1 ELSE 0 END) = 1 THEN 'review' ELSE 'allow' END AS disposition FROM s GROUP BY subject")
 def risk(spark, sf):
     sev = F.when(F.col("event_type") == "error", "high").when(F.col("event_type") == "signup", "medium").otherwise("low")
-    return e.disposition(table(spark, sf, "events").where("event_id < 1000").select(F.col("user_id").alias("subject"), sev.alias("severity"), (F.col("event_id") % 3).alias("hops")))
+    return e.disposition(table(spark, sf, "events").select(F.col("user_id").alias("subject"), sev.alias("severity"), (F.col("event_id") % 3).alias("hops")))
 
 
-@query("pattern_cost_rank", "J9 T2", "SELECT 'p' || p_partkey AS pattern_id, round(p_size + 0.001 * p_retailprice + 5 * (p_partkey % 3) * (p_partkey % 7) + CASE WHEN p_partkey % 11 = 0 THEN 50 ELSE 0 END, 6) AS cost FROM part WHERE p_partkey < 100")
+@query("pattern_cost_rank", "J9 T2", "SELECT 'p' || p_partkey AS pattern_id, round(p_size + 0.001 * p_retailprice + 5 * (p_partkey % 3) * (p_partkey % 7) + CASE WHEN p_partkey % 11 = 0 THEN 50 ELSE 0 END, 6) AS cost FROM part")
 def cost(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 100").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("pattern_id"), F.col("p_size").alias("depth"), F.col("p_retailprice").alias("rows"), (F.col("p_partkey") % 3).alias("misses"), (F.col("p_partkey") % 7).alias("fanout"), (F.col("p_partkey") % 11 == 0).alias("cartesian"))
+    p = table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("pattern_id"), F.col("p_size").alias("depth"), F.col("p_retailprice").alias("rows"), (F.col("p_partkey") % 3).alias("misses"), (F.col("p_partkey") % 7).alias("fanout"), (F.col("p_partkey") % 11 == 0).alias("cartesian"))
     return e.plan_cost(p).select("pattern_id", "cost")
 
 
@@ -133,10 +133,11 @@ def lanes(spark, sf):
     return e.route_margin(s, 4.0)
 
 
-@query("replica_choice", "J15", "SELECT 'b' AS name, CAST(2.0 AS DOUBLE) AS lag")
+@query("replica_choice", "J15", "SELECT s_name AS name, s_acctbal AS lag FROM supplier WHERE s_nationkey % 2 = 0 AND s_acctbal BETWEEN 0 AND 9000 ORDER BY lag, name LIMIT 1")
 def replicas(spark, sf):
-    rows = spark.createDataFrame([("a", 1.0, False), ("b", 2.0, True), ("c", 2.0, True), ("d", 9.0, True)], "name string, lag double, healthy boolean")
-    return e.replica(rows, 5.0).select("name", "lag")
+    """Suppliers as replicas: their balance is how far they lag, even nations are up."""
+    rows = table(spark, sf, "supplier").where("s_acctbal >= 0").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("lag"), (F.col("s_nationkey") % 2 == 0).alias("healthy"))
+    return e.replica(rows, 9000.0).select("name", "lag")
 
 
 @query("vocabulary_merge", "X7 X10 X11 X12", "SELECT lower(p_brand) AS key, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS alts, string_agg(DISTINCT 's' || (p_partkey % 3), ',' ORDER BY 's' || (p_partkey % 3)) AS sources, arg_min(p_name, p_partkey) FILTER (WHERE p_partkey % 4 <> 0) AS definition FROM part GROUP BY 1")
@@ -150,17 +151,25 @@ def concept_owners(spark, sf):
     return e.owners(table(spark, sf, "part").where("p_size < 2").select(F.col("p_name").alias("concept"), F.col("p_brand").alias("profile")))
 
 
-@query("capability_match", "X18 X26", "SELECT * FROM (VALUES ('b', 7), ('a', 3)) AS t(name, score)")
+@query("capability_match", "X18", "WITH o AS (SELECT 'part ' || p_partkey AS name, list_distinct(string_split(p_name, ' ')) AS inputs, p_size AS priority FROM part WHERE p_type = 'ECONOMY') SELECT name, CAST(len(inputs) + priority AS INTEGER) AS score FROM o WHERE len(list_filter(inputs, lambda w: w NOT IN ('small', 'ring', 'red', 'blue', 'box', 'steel'))) = 0")
 def capability(spark, sf):
-    o = spark.createDataFrame([("a", "q", ["x"], 2), ("b", "q", ["x", "y"], 5), ("c", "q", ["z"], 9), ("d", "w", ["x"], 9)], "name string, kind string, inputs array<string>, priority int")
-    return e.match_rank(o, ["x", "y"], "q").select("name", "score")
+    """Parts as capabilities: their words are what they need, their size the priority."""
+    o = table(spark, sf, "part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("name"), F.col("p_type").alias("kind"), F.array_distinct(F.split("p_name", " ")).alias("inputs"), F.col("p_size").alias("priority"))
+    return e.match_rank(o, ["small", "ring", "red", "blue", "box", "steel"], "ECONOMY").select("name", "score")
 
 
-@query("artifact_diff", "X24 X29", "SELECT p_partkey AS key, CASE WHEN p_partkey < 10 THEN 'removed' WHEN p_partkey >= 100 THEN 'added' ELSE 'changed' END AS change FROM part WHERE p_partkey < 10 OR (p_partkey >= 100 AND p_partkey < 105) OR (p_partkey < 100 AND p_partkey % 9 = 0)")
+@query("evidence_bundles", "X26", "WITH s AS (SELECT user_id, list_distinct(list(event_type)) AS slots, COUNT(*) AS n FROM events GROUP BY 1) SELECT user_id AS subject, array_to_string(list_sort(list_filter(['click', 'purchase', 'signup'], lambda x: NOT list_contains(slots, x))), ',') AS missing, len(list_filter(['click', 'purchase', 'signup'], lambda x: list_contains(slots, x))) = 3 AS complete FROM s")
+def bundles(spark, sf):
+    """What each user's events show of three required slots, and what is to be asked again."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("subject"), F.col("event_type").alias("slot"))
+    return e.evidence_bundle(rows, ["click", "purchase", "signup"]).select("subject", F.array_join("missing", ",").alias("missing"), "complete")
+
+
+@query("artifact_diff", "X24 X29", "SELECT p_partkey AS key, CASE WHEN p_size < 5 THEN 'removed' WHEN p_size > 45 THEN 'added' ELSE 'changed' END AS change FROM part WHERE p_size < 5 OR p_size > 45 OR p_retailprice > 1500")
 def diff(spark, sf):
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"))
-    new = p.where("key >= 10 and key < 105").withColumn("value", F.when(F.col("key") % 9 == 0, F.lit("new")).otherwise(F.col("value")))
-    return e.artifact_diff(p.where("key < 100"), new)
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"), "p_size", "p_retailprice")
+    new = p.where("p_size >= 5").withColumn("value", F.when(F.col("p_retailprice") > 1500, F.lit("new")).otherwise(F.col("value")))
+    return e.artifact_diff(p.where("p_size <= 45").select("key", "value"), new.select("key", "value"))
 
 
 @query("run_leaderboard", "X21 X22", "SELECT p_brand AS run, round(avg(p_retailprice), 4) AS score FROM part GROUP BY 1 ORDER BY score DESC, run LIMIT 5")
@@ -180,9 +189,12 @@ def reclaim(spark, sf):
     return e.reclaimable(v, ev.where("event_type = 'signup' and event_id > 500").select(F.col("event_id").alias("epoch")))
 
 
-@query("parameter_sweep", "X23", "SELECT a, b FROM (VALUES (1), (2), (3)) x(a), (VALUES ('u'), ('v')) y(b)")
+@query("parameter_sweep", "X23", "SELECT t AS threshold, k AS kind, COUNT(*) FILTER (WHERE value > t AND event_type = k) AS n FROM events, (VALUES (1.0), (5.0), (20.0)) x(t), (VALUES ('click'), ('error')) y(k) GROUP BY 1, 2")
 def sweeps(spark, sf):
-    return e.sweep(spark, {"a": [1, 2, 3], "b": ["u", "v"]})
+    """Every combination of two axes, each run on all events in one pass."""
+    grid = e.sweep(spark, {"threshold": [1.0, 5.0, 20.0], "kind": ["click", "error"]})
+    hit = (F.col("value") > F.col("threshold")) & (F.col("event_type") == F.col("kind"))
+    return table(spark, sf, "events").join(F.broadcast(grid)).groupBy("threshold", "kind").agg(F.count_if(hit).alias("n"))  # six rows
 
 
 @query("cost_saving_ratio", "X19 X20", "SELECT round(1 - SUM(CASE WHEN p_size < 25 THEN 1 ELSE 4 END) / (4.0 * COUNT(*)), 6) AS saved, COUNT(*) FILTER (WHERE p_partkey % 6 = 0) AS incomplete FROM part")

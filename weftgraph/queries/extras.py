@@ -3,14 +3,17 @@
 from pyspark.sql import functions as F
 
 from weftgraph.operators import extras as x
-from weftgraph.plans.demo import parts, table
+from weftgraph.plans.demo import table
 from weftgraph.registry import query
 
 
-@query("betweenness_topk", "N18")
+@query("betweenness_topk", "N18", "WITH bt AS (SELECT DISTINCT p_brand AS b, p_type AS t FROM part), tz AS (SELECT DISTINCT p_type AS t, p_size AS z FROM part), p AS (SELECT b, t, z FROM bt JOIN tz USING (t)), s AS (SELECT b, z, COUNT(*) AS n FROM p GROUP BY 1, 2) SELECT t AS node, round(SUM(1.0 / n), 6) AS score FROM p JOIN s USING (b, z) GROUP BY t UNION ALL SELECT DISTINCT p_brand, 0.0 FROM part UNION ALL SELECT DISTINCT 'size ' || p_size, 0.0 FROM part ORDER BY score DESC, node LIMIT 10")
 def between(spark, sf):
-    few = parts(spark, sf).where("src < 400 and dst < 400")  # a region of the graph, small as exact betweenness needs it
-    return x.betweenness(few, 10)
+    """Brands to types to sizes, over all parts: every path runs through a type."""
+    p = table(spark, sf, "part")
+    size = F.concat(F.lit("size "), F.col("p_size").cast("string"))
+    e = p.select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst")).unionByName(p.select(F.col("p_type").alias("src"), size.alias("dst")))
+    return x.betweenness(e, 10, directed=True)
 
 
 @query("canonical_projection", "W24", "SELECT DISTINCT 'B' || a.p_brand AS src, 'B' || b.p_brand AS dst, 'NEXT' AS type FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_brand <> b.p_brand")

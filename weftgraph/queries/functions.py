@@ -17,16 +17,19 @@ def symbol(spark, sf):
     return table(spark, sf, "part").select("p_partkey", x.normalise_symbol(F.concat_ws(" ", "p_brand", "p_name")).alias("symbol"))
 
 
-@query("name_key", "F5 P10", "SELECT s_suppkey, 'acme ' || s_suppkey AS key FROM supplier")
+@query("name_key", "F5 P10", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'acme ' ELSE '' END || p_name || ' ' || p_partkey AS key FROM part")
 def name_key(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", x.name_key(F.concat(F.lit("The ACME, "), F.col("s_suppkey").cast("string"), F.lit(" Holdings Inc."))).alias("key"))
+    said = F.concat(F.when(F.col("p_partkey") % 2 == 0, "The ACME, ").otherwise("the "), F.initcap("p_name"), F.lit(", "), F.col("p_partkey").cast("string"), F.when(F.col("p_size") > 25, " Holdings Inc.").otherwise(", LLC"))
+    return table(spark, sf, "part").select("p_partkey", x.name_key(said).alias("key"))
 
 
-@query("token_prefix", "F6", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_partkey % 500 = 0 AND b.p_partkey % 400 = 0 AND (a.p_name = b.p_name OR starts_with(a.p_name, b.p_name || ' ') OR starts_with(b.p_name, a.p_name || ' '))")
+@query("token_prefix", "F6", "WITH n AS (SELECT p_name AS k, COUNT(*) AS n FROM part GROUP BY 1), w AS (SELECT split_part(p_name, ' ', 1) AS k, COUNT(*) AS n FROM part GROUP BY 1) SELECT w.k AS a, n.k AS b, w.n AS parts_a, n.n AS parts_b FROM w JOIN n ON w.k = n.k OR starts_with(n.k, w.k || ' ')")
 def token_prefix(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_name", F.split("p_name", " ")[0].alias("block"))
-    a, b = p.where("p_partkey % 500 = 0").toDF("a", "na", "block"), p.where("p_partkey % 400 = 0").toDF("b", "nb", "block")
-    return a.join(b, "block").where(x.token_prefix("na", "nb")).select("a", "b")
+    """Pairs of names, each once with how many parts have it: first words and whole names."""
+    p = table(spark, sf, "part").select("p_name", F.split("p_name", " ")[0].alias("block"))
+    n = p.groupBy(F.col("p_name").alias("b"), "block").agg(F.count(F.lit(1)).alias("parts_b"))
+    w = p.groupBy("block").agg(F.count(F.lit(1)).alias("parts_a")).withColumn("a", F.col("block"))
+    return w.join(n, "block").where(x.token_prefix("a", "b")).select("a", "b", "parts_a", "parts_b")
 
 
 TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''))"
@@ -68,7 +71,7 @@ def opaque(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.sha2(F.concat_ws("|", "c_mktsegment", "c_name"), 256).alias("ref"))
 
 
-@query("shard_for", "F21 M10")
+@query("shard_for", "F21 M10", "SELECT CAST(('0x' || substr(sha256(c_name), 1, 16))::UBIGINT % 16 AS INTEGER) AS shard, COUNT(*) AS n FROM customer GROUP BY 1")
 def shard_for(spark, sf):
     return table(spark, sf, "customer").groupBy(x.shard_for("c_name", 16).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -90,9 +93,13 @@ def token_count(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", x.token_count("text").cast("long").alias("n"))
 
 
-@query("citation_extraction", "F27", "SELECT doc_id, source || '#' || (n_chars % 7) AS cited FROM documents")
+@query("citation_extraction", "F27", "SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN source || ',x' || (n_chars % 7) || '#' || (n_chars % 7) ELSE source || '#' || (n_chars % 7) END AS cited FROM documents")
 def cited(spark, sf):
-    said = F.concat(F.lit("as said [src:"), F.col("source"), F.lit(", chunk:"), (F.col("n_chars") % 7).cast("string"), F.lit("] and [src:"), F.col("source"), F.lit(", chunk:"), (F.col("n_chars") % 7).cast("string"), F.lit("]"))
+    """Marks with and without a chunk, and one that comes twice."""
+    n = (F.col("n_chars") % 7).cast("string")
+    whole = F.concat(F.lit("[src:x"), n, F.lit(", chunk:"), n, F.lit("]"))
+    with_chunk = F.concat(F.lit("[src:"), F.col("source"), F.lit(", chunk:"), n, F.lit("]"))
+    said = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("as [src:"), F.col("source"), F.lit("] said and "), whole, whole)).otherwise(F.concat(F.lit("as said "), with_chunk, F.lit(" and "), with_chunk, F.lit(" not [src:a b]")))
     return table(spark, sf, "documents").select("doc_id", F.array_join(x.citations(said), ",").alias("cited"))
 
 
@@ -102,9 +109,10 @@ def semver(spark, sf):
     return table(spark, sf, "part").select("p_partkey", x.version_distance(v, F.lit("1.3.0")).alias("distance"))
 
 
-@query("mask_question", "F34 V9", "SELECT s_suppkey, 'what did <e> <n> pay <q>' AS masked, 'x y' AS entity FROM supplier")
+@query("mask_question", "F34 V9", "SELECT s_suppkey, 'what did <e> <n> pay <q> on ' || lower(CASE WHEN s_acctbal > 5000 THEN '<e>' ELSE 'monday' END) AS masked, s_name || ' x' AS entity FROM supplier")
 def mask(spark, sf):
-    q = F.concat(F.lit("what did Acme "), F.col("s_suppkey").cast("string"), F.lit(' pay "x y"'))
+    day = F.when(F.col("s_acctbal") > 5000, F.lit("Monday")).otherwise("monday")
+    q = F.concat(F.lit("what did Acme "), F.col("s_suppkey").cast("string"), F.lit(' pay "'), F.col("s_name"), F.lit(' x" on '), day)
     return table(spark, sf, "supplier").select("s_suppkey", x.mask_question(q).alias("masked"), F.array_join(x.question_entities(q), ",").alias("entity"))
 
 
@@ -117,12 +125,29 @@ def redacted(spark, sf):
 
 @query("gestalt_ratio", "F10")
 def gestalt(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 50")
-    return p.select("p_partkey", x.gestalt_ratio("p_name", "p_type").alias("ratio"))
+    return table(spark, sf, "part").select("p_partkey", x.gestalt_ratio("p_name", "p_type").alias("ratio"))
 
 
-@query("mentions", "F35", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
+@query("mentions", "F35", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) WHERE b.text <> ''")
 def mentions(spark, sf):
-    # a list of names to look for is given, and small; the texts are read once
-    names = F.broadcast(table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("name")).limit(1000))
-    return table(spark, sf, "documents").join(names, F.lower("text").contains(F.col("name"))).select("item_id", "doc_id")
+    names = table(spark, sf, "benchmark").select(F.col("item_id").alias("name_id"), F.col("text").alias("name"))
+    found = x.mentions(table(spark, sf, "documents").select("doc_id", "text"), names)
+    return found.select(F.col("name_id").alias("item_id"), "doc_id")
+
+
+@query("answer_normalised", "F3", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_type || ', the (' || p_name || ')!'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS answer FROM part")
+def normalised_answer(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", x.normalise_answer(F.concat("p_type", F.lit(", the ("), "p_name", F.lit(")!"))).alias("answer"))
+
+
+@query("overlap_scores", "F37", "WITH t AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(p_type || ' ' || split_part(p_name, ' ', 1)), '[^a-z0-9]+'), lambda w: w <> '')) AS b FROM part) SELECT p_partkey, len(list_intersect(a, b)) / len(a) AS overlap FROM t")
+def overlaps(spark, sf):
+    first = F.split("p_name", " ")[0]
+    return table(spark, sf, "part").select("p_partkey", x.overlap_score(x.tokens("p_name"), x.tokens(F.concat_ws(" ", "p_type", first))).alias("overlap"))
+
+
+@query("slack_rendered", "F36", "SELECT conv_id, turn, trim('see ' || 'docs at http://a.b/' || turn || ' in #general from @U' || conv_id || ' ' || trim(role)) AS text FROM conversations")
+def slack_rendered(spark, sf):
+    t, c = F.col("turn").cast("string"), F.col("conv_id").cast("string")
+    said = F.concat(F.lit("see <http://x.y|docs> at <http://a.b/"), t, F.lit("> in <#C1|general> from <@U"), c, F.lit("> "), F.trim("role"), F.lit(" "))
+    return table(spark, sf, "conversations").select("conv_id", "turn", x.slack_text(said).alias("text"))

@@ -61,10 +61,13 @@ def backlog(spark, sf):
     return m.backlog(_sequenced(spark, sf), 9000, F.lit(1_706_745_600))
 
 
-@query("memory_acknowledge", "M6 M9", "SELECT * FROM (VALUES ('a', 9, 2), ('b', 7, 5), ('c', 1, 1)) AS t(projection, sequence, fence)")
+@query("memory_acknowledge", "M6 M9", "WITH s AS (SELECT event_type AS p, MAX(event_id) AS seq, MAX(user_id % 5) AS f FROM events WHERE value <= 5 GROUP BY 1), a AS (SELECT event_type AS p, event_id AS seq, user_id % 7 AS f FROM events WHERE value > 5), o AS (SELECT a.* FROM a LEFT JOIN s ON s.p = a.p WHERE s.f IS NULL OR a.f >= s.f) SELECT p AS projection, MAX(seq) AS sequence, MAX(f) AS fence FROM (SELECT * FROM s UNION ALL SELECT * FROM o) GROUP BY 1")
 def acknowledge(spark, sf):
-    kind = "projection string, sequence int, fence int"
-    return m.acknowledge(spark.createDataFrame([("a", 5, 2), ("b", 7, 5)], kind), spark.createDataFrame([("a", 9, 2), ("b", 12, 4), ("a", 3, 2), ("c", 1, 1)], kind))
+    """Small events as the projections' state, large ones as acknowledgements, of which
+    those with an older fence are refused."""
+    e = table(spark, sf, "events")
+    state = e.where("value <= 5").groupBy(F.col("event_type").alias("projection")).agg(F.max("event_id").alias("sequence"), F.max(F.col("user_id") % 5).alias("fence"))
+    return m.acknowledge(state, e.where("value > 5").select(F.col("event_type").alias("projection"), F.col("event_id").alias("sequence"), (F.col("user_id") % 7).alias("fence")))
 
 
 @query("reorg_reconcile", "M7", "WITH b AS (SELECT user_id % 5 AS c, event_id // 20 AS h, event_type AS block, event_id AS event, event_id AS o FROM events), f AS (SELECT c, h, block, MIN(o) AS seen FROM b GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY c, h ORDER BY seen DESC, block) AS r FROM f) SELECT 'c' || c AS chain, h AS height, block, event, CASE WHEN r = 1 THEN 'canonical' ELSE 'orphaned' END AS status FROM b JOIN r USING (c, h, block)")
@@ -90,17 +93,20 @@ def outbox(spark, sf):
     return m.project(m.commit(_events(spark, sf)))[1].groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("debate_stop", "M13", "SELECT CAST(d AS INTEGER) AS debate, CAST(CASE WHEN d % 2 = 0 THEN 4 ELSE 6 END AS INTEGER) AS stops_at FROM range(20) t(d)")
+@query("debate_stop", "M13", "WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rd, MAX(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS score FROM events), d AS (SELECT *, CASE WHEN rd = 1 THEN 1 WHEN score - lag(score) OVER (PARTITION BY user_id ORDER BY rd) > 0.1 THEN 1 ELSE 0 END AS moved FROM r), s AS (SELECT *, moved + COALESCE(lag(moved) OVER (PARTITION BY user_id ORDER BY rd), 0) AS m FROM d) SELECT user_id AS debate, CAST(COALESCE(MIN(CASE WHEN m = 0 AND rd > 2 THEN rd END), MAX(rd)) AS INTEGER) AS stops_at FROM s GROUP BY 1")
 def debate(spark, sf):
-    r = spark.range(20).select(F.col("id").cast("int").alias("debate"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("round"))
-    score = F.when((F.col("debate") % 2 == 0) & (F.col("round") > 2), 2.0).otherwise(F.col("round").cast("double"))
-    return m.stop_round(r.withColumn("score", score), 0.1)
+    """Users' events as rounds, scored by the best value so far."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    best = F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return m.stop_round(table(spark, sf, "events").select(F.col("user_id").alias("debate"), F.row_number().over(w).alias("round"), best.alias("score")), 0.1)
 
 
-@query("chain_events", "M15 X36", "SELECT l_orderkey AS tx, COUNT(*) AS events FROM (SELECT l_orderkey FROM lineitem WHERE l_orderkey < 500 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey < 500 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)) GROUP BY 1")
+@query("chain_events", "M15 X36", "SELECT l_orderkey AS tx, COUNT(*) AS events FROM (SELECT l_orderkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)) GROUP BY 1")
 def chain(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_suppkey").cast("string"))).alias("outputs"))
-    o = table(spark, sf, "orders").where("o_orderkey < 500")
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_suppkey").cast("string"))).alias("outputs"))
+    o = table(spark, sf, "orders")
     t = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.year("o_orderdate").alias("block"), F.col("o_orderkey").alias("tx"), F.array(F.col("o_custkey").cast("string")).alias("inputs"), "outputs")
     return m.chain_events(t).groupBy("tx").agg(F.count(F.lit(1)).alias("events"))
 
@@ -127,6 +133,8 @@ def windows(spark, sf):
     return e.select("start", "event_type", "n")
 
 
-@query("approx_users", "A14 (extension)")
+@query("approx_users", "A14", "SELECT event_type, TRUE AS close, COUNT(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def approx(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("users"))
+    """The sketch's estimate beside the exact count, of which it is within a tenth."""
+    u = table(spark, sf, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.countDistinct("user_id").alias("users"))
+    return u.select("event_type", (F.abs(F.col("about") - F.col("users")) <= 0.1 * F.col("users")).alias("close"), "users")

@@ -12,9 +12,9 @@ def N():  # noqa: N802
 
 
 
-def _writes(spark, sf):
+def _writes(spark, sf, of="true"):
     """Events as writes of a user's last value by type: properties are event types."""
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events").where(of)
     return e.select(F.lit("User").alias("label"), F.col("user_id").cast("string").alias("id"), F.lit("ws0").alias("workspace"), F.create_map("event_type", F.col("event_id").cast("string")).alias("props"), F.concat(F.lit("s"), (F.col("event_id") % 4).cast("string")).alias("source"), F.expr("event_id div 2").alias("ts"), F.col("event_id").alias("ordinal"))
 
 
@@ -28,15 +28,15 @@ def sources(spark, sf):
     return r.count_by_source(r.upsert_nodes(_writes(spark, sf)))
 
 
-@query("merge_conflicts", "W3", "WITH a AS (SELECT user_id, event_type, MAX(event_id) AS v FROM events WHERE event_id < 5000 GROUP BY 1, 2), b AS (SELECT user_id, event_type, MAX(event_id) AS v FROM events WHERE event_id >= 5000 GROUP BY 1, 2) SELECT CAST(user_id AS VARCHAR) AS id, event_type AS prop, CAST(a.v AS VARCHAR) AS before, CAST(b.v AS VARCHAR) AS after FROM a JOIN b USING (user_id, event_type)")
+@query("merge_conflicts", "W3", "WITH a AS (SELECT user_id, event_type, MAX(event_id) AS v FROM events WHERE value <= 5 GROUP BY 1, 2), b AS (SELECT user_id, event_type, MAX(event_id) AS v FROM events WHERE value > 5 GROUP BY 1, 2) SELECT CAST(user_id AS VARCHAR) AS id, event_type AS prop, CAST(a.v AS VARCHAR) AS before, CAST(b.v AS VARCHAR) AS after FROM a JOIN b USING (user_id, event_type)")
 def merge_conflicts(spark, sf):
-    w = _writes(spark, sf)
-    return r.merge_conflicts(r.upsert_nodes(w.where("ordinal < 5000")), r.upsert_nodes(w.where("ordinal >= 5000"))).select("id", "prop", "before", "after")
+    w = lambda of: r.upsert_nodes(_writes(spark, sf, of))
+    return r.merge_conflicts(w("value <= 5"), w("value > 5")).select("id", "prop", "before", "after")
 
 
-@query("delete_by_source", "W6 W8", "SELECT CAST(user_id AS VARCHAR) AS id, COUNT(DISTINCT event_id % 4) AS sources FROM events WHERE event_id % 4 <> 1 AND event_id < 300 GROUP BY 1")
+@query("delete_by_source", "W6 W8", "SELECT CAST(user_id AS VARCHAR) AS id, COUNT(DISTINCT event_id % 4) AS sources FROM events WHERE event_id % 4 <> 1 GROUP BY 1")
 def delete_by_source(spark, sf):
-    own = r.upsert_nodes(_writes(spark, sf).where("ordinal < 300"))
+    own = r.upsert_nodes(_writes(spark, sf))
     return r.delete_by_source(own, "s1").select("id", F.size("sources").cast("long").alias("sources"))
 
 
@@ -88,25 +88,25 @@ def alias(spark, sf):
     return r.aliases(table(spark, sf, "part").where("p_size < 3").select(F.col("p_name").alias("name"), F.col("p_brand").alias("canonical")))
 
 
-NAMES = "n AS (SELECT p_partkey AS id, p_name AS k FROM part WHERE p_partkey % 40 = 0 UNION ALL SELECT p_partkey, split_part(p_name, ' ', 1) FROM part WHERE p_partkey % 40 = 1)"
+NAMES = "n AS (SELECT p_partkey AS id, p_name AS k, split_part(p_name, ' ', 1) AS w FROM part WHERE p_size <= 40 UNION ALL SELECT p_partkey, split_part(p_name, ' ', 1), split_part(p_name, ' ', 1) FROM part WHERE p_size > 40), f AS (SELECT k, MIN(id) AS id FROM n GROUP BY k)"
 
 
 def _proxies(spark, sf):
+    """Large parts go by their first word, all others by their name."""
     p = table(spark, sf, "part")
-    return p.where("p_partkey % 40 = 0").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(", Inc.")).alias("name")).union(p.where("p_partkey % 40 = 1").select("p_partkey", F.concat(F.lit("The "), F.split("p_name", " ")[0])))
+    large = F.col("p_size") > 40
+    return p.select(F.col("p_partkey").alias("id"), F.when(large, F.concat(F.lit("The "), F.split("p_name", " ")[0])).otherwise(F.concat("p_name", F.lit(", Inc."))).alias("name"))
 
 
-@query("er_candidates", "W18 F5 F6", f"WITH {NAMES} SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CAST(CASE WHEN x.k = y.k THEN 1.0 ELSE 0.9 END AS DOUBLE) AS score FROM n x JOIN n y ON x.id < y.id AND (x.k = y.k OR starts_with(x.k, y.k || ' ') OR starts_with(y.k, x.k || ' '))")
+@query("er_candidates", "W18 F5 F6", f"WITH {NAMES} SELECT f.id AS a, n.id AS b, CAST(1.0 AS DOUBLE) AS score FROM n JOIN f ON f.k = n.k AND f.id <> n.id UNION ALL SELECT least(x.id, y.id), greatest(x.id, y.id), CAST(0.9 AS DOUBLE) FROM f x JOIN f y ON starts_with(x.k, y.k || ' ')")
 def candidates(spark, sf):
     return r.candidate_pairs(_proxies(spark, sf))
 
 
-@query("er_clusters", "W19 N5", f"WITH {NAMES} SELECT id AS node, MIN(id) OVER (PARTITION BY split_part(k, ' ', 1)) AS component FROM n WHERE split_part(k, ' ', 1) IN (SELECT split_part(k, ' ', 1) FROM n GROUP BY 1 HAVING COUNT(*) > 1 AND COUNT(*) FILTER (WHERE NOT contains(k, ' ')) > 0)")
+@query("er_clusters", "W19 N5", f"WITH {NAMES}, s AS (SELECT DISTINCT w FROM n WHERE k = w), g AS (SELECT id, CASE WHEN n.w IN (SELECT w FROM s) THEN n.w ELSE k END AS g FROM n) SELECT id AS node, component FROM (SELECT id, MIN(id) OVER (PARTITION BY g) AS component, COUNT(*) OVER (PARTITION BY g) AS c FROM g) WHERE c > 1")
 def er_clusters(spark, sf):
     pairs = r.candidate_pairs(_proxies(spark, sf))
-    with_short = _proxies(spark, sf).where("name like 'The %'").select(F.split(x.name_key("name"), " ")[0].alias("w")).distinct()
-    own = _proxies(spark, sf).withColumn("w", F.split(x.name_key("name"), " ")[0]).join(with_short, "w", "left_semi").select(F.col("id").alias("node"))
-    return r.clusters(pairs.select("a", "b"), pairs.where("score > 2").select("a", "b")).join(own, "node", "left_semi")
+    return r.clusters(pairs.select("a", "b"), pairs.where("score > 2").select("a", "b"))
 
 
 @query("embedding_dedup", "W16 V5", "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.4")
@@ -123,12 +123,12 @@ def related(spark, sf):
     return table(spark, sf, "documents").groupBy(r.relatedness(c % 3, c % 5, (c % 100) / 100, (c % 10) / 10).alias("reason")).agg(N().alias("n"))
 
 
-@query("survivorship_vote", "W20 W21 F11 F12")
+@query("survivorship_vote", "W20 W21 F11 F12", """WITH f AS (SELECT l_orderkey AS k, l_returnflag AS s, l_extendedprice AS v, length(replace(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), '.', '')) AS d, format('{:,.2f}', l_extendedprice) AS raw FROM lineitem), o AS (SELECT k, s, v FROM (SELECT *, row_number() OVER (PARTITION BY k, s ORDER BY d DESC, raw) AS r FROM f) WHERE r = 1),
+g AS (SELECT k, v, CASE WHEN lag(v) OVER (PARTITION BY k ORDER BY v) IS NULL OR v - lag(v) OVER (PARTITION BY k ORDER BY v) > 0.005 * v THEN 1 ELSE 0 END AS new FROM o), c AS (SELECT k, SUM(new) OVER (PARTITION BY k ORDER BY v ROWS UNBOUNDED PRECEDING) AS g FROM g), z AS (SELECT k, g, COUNT(*) AS n FROM c GROUP BY 1, 2), y AS (SELECT k, MAX(n) AS m, SUM(n) AS n FROM z GROUP BY k) SELECT CASE WHEN n = 1 THEN 'single' WHEN m >= 2 AND 2 * m > n THEN 'survived' ELSE 'quarantine' END AS status, COUNT(*) AS n FROM y GROUP BY 1""")
 def survive(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 2000")
     raw = F.format_number("l_extendedprice", 2)
     v = x.parse_value(raw)
-    facts = li.select(F.col("l_orderkey").cast("string").alias("key"), F.col("l_returnflag").alias("source"), raw.alias("raw"), v["value"].alias("value"), v["percent"].alias("percent"), v["digits"].alias("digits"))
+    facts = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("key"), F.col("l_returnflag").alias("source"), raw.alias("raw"), v["value"].alias("value"), v["percent"].alias("percent"), v["digits"].alias("digits"))
     return r.survivorship(facts).groupBy("status").agg(N().alias("n"))
 
 
@@ -144,9 +144,9 @@ def qualification(spark, sf):
     return table(spark, sf, "part").groupBy(r.qualify(F.col("p_size") / 50, g, F.lit(None).cast("double")).alias("verdict")).agg(N().alias("n"))
 
 
-@query("conflicting_slots", "W26", "SELECT c_nationkey AS slot, COUNT(DISTINCT c_mktsegment) AS values FROM customer WHERE c_custkey < 60 GROUP BY 1 HAVING COUNT(DISTINCT c_mktsegment) > 1")
+@query("conflicting_slots", "W26", "SELECT c_nationkey AS slot, COUNT(DISTINCT c_mktsegment) AS values FROM customer WHERE c_acctbal > 9000 GROUP BY 1 HAVING COUNT(DISTINCT c_mktsegment) > 1")
 def slots(spark, sf):
-    return r.conflicting_slots(table(spark, sf, "customer").where("c_custkey < 60").select(F.col("c_nationkey").alias("slot"), F.col("c_mktsegment").alias("value")))
+    return r.conflicting_slots(table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("slot"), F.col("c_mktsegment").alias("value")))
 
 
 @query("incremental_files", "S6 S7", "SELECT doc_id FROM documents WHERE doc_id % 4 = 0 OR n_chars % 10 = 0")

@@ -48,7 +48,7 @@ def facts(spark, sf):
     return s.company_facts(o, "USD", 2).select("entity", "fiscal_year", "value")
 
 
-@query("stratified_sample", "S20 S39 T4")
+@query("stratified_sample", "S20 S39 T4", "SELECT lang, least(COUNT(*), 25) AS n FROM documents GROUP BY lang")
 def stratified(spark, sf):
     return s.stratified(table(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", 25, 7).groupBy("lang").agg(N().alias("n"))
 
@@ -70,10 +70,10 @@ def turtle(spark, sf):
     return s.turtle(n.select(F.concat(F.lit("urn:n:"), F.col("n_nationkey").cast("string")).alias("s"), F.lit("urn:p:in").alias("p"), o.alias("o")))
 
 
-@query("projection_ledger", "S27", "SELECT COUNT(DISTINCT user_id) AS n FROM events WHERE event_id >= 5000 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id < 100)")
+@query("projection_ledger", "S27", "SELECT COUNT(DISTINCT user_id || event_type) AS n FROM events WHERE value > 5 AND user_id || event_type NOT IN (SELECT user_id || event_type FROM events WHERE value <= 2)")
 def ledger(spark, sf):
-    e = table(spark, sf, "events").withColumnRenamed("user_id", "idempotency_key")
-    return s.new_only(e.where("event_id >= 5000"), e.where("event_id < 100")).agg(N().alias("n"))
+    e = table(spark, sf, "events").withColumn("idempotency_key", F.concat(F.col("user_id").cast("string"), "event_type"))
+    return s.new_only(e.where("value > 5"), e.where("value <= 2")).agg(N().alias("n"))
 
 
 @query("glossary_round_trip", "S31", "SELECT n_name AS name, 'nation ' || n_nationkey AS definition FROM nation")
@@ -88,9 +88,10 @@ def chunked(spark, sf):
     return ch.chunk(table(spark, sf, "documents").select("doc_id", "text"), 1500, 100, "\n").select("doc_id", "ordinal", "char_start", "char_end", "token_count")
 
 
-@query("chunk_chain", "W11", None)
+@query("chunk_chain", "W11", "SELECT 'HAS_CHUNK' AS type, COUNT(*) AS n FROM conversations UNION ALL SELECT 'NEXT', COUNT(*) - COUNT(DISTINCT conv_id) FROM conversations")
 def chain(spark, sf):
-    c = ch.chunk(table(spark, sf, "documents").select("doc_id", "text"), 1500, 100, "\n")
+    """Conversations as documents, their turns as chunks."""
+    c = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.concat_ws("_chunk_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("chunk_id"))
     return ch.document_layer(c)[1].groupBy("type").agg(N().alias("n"))
 
 
@@ -100,10 +101,10 @@ def fallback(spark, sf):
     return ch.fallback_extraction(b)[1].groupBy("dst").agg(N().alias("n"))
 
 
-@query("fact_triples", "F28")
+@query("fact_triples", "F28", "SELECT p_partkey AS doc_id, 'Acme Corp' AS s, 'did buy' AS p, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS o FROM part UNION ALL SELECT p_partkey, 'The ' || upper(p_type[1]) || lower(p_type[2:]), 'was made by', 'Zed' FROM part")
 def triples(spark, sf):
     said = F.concat(F.lit("Acme Corp did buy "), F.initcap("p_name"), F.lit(". nothing here. The "), F.initcap("p_type"), F.lit(" was made by Zed."))
-    return ch.facts(table(spark, sf, "part").where("p_partkey < 500").select(F.col("p_partkey").alias("doc_id"), said.alias("text")))
+    return ch.facts(table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), said.alias("text")))
 
 
 @query("payload_normalised", "X33 X36", "SELECT p_brand AS label, string_agg(DISTINCT w, ',' ORDER BY w) AS words FROM (SELECT p_brand, unnest(string_split(lower(p_name), ' ')) AS w FROM part) GROUP BY 1")
