@@ -17,23 +17,44 @@ WORDS = 5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at least a half for quality. The model is learnt from the
-    labelled rows that are not held out."""
+    labelled rows that are not held out.
+
+    A null text scores as an empty one, a null key has a score like any other; repeated
+    rows are judged alike and all stay or go; a score of just a half stays. Without a text
+    of each class nothing is judged and all stay. Any columns, clashing names included,
+    come out as they went in; an empty table stays empty."""
     return op2_quality.keep_good(docs, op2_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those without letters or without a
-    verdict of at least a half go."""
+    verdict of at least a half go.
+
+    A null or empty text has no letters. Null keys are kept apart by text and source;
+    repeated rows share a verdict; of equally likely languages the one that sorts first
+    is the verdict, and a posterior of just a half stays. Without any language label no
+    model is learnt and all go. Columns come out as they went in; an empty table stays
+    empty."""
     return op6_language.keep_identified(docs, op6_language.fit(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of least doc_id."""
+    """One document of each group of near copies: the one of least doc_id. Fingerprints
+    give candidates, and all links are verified on whole sets of shingles.
+
+    Null texts count as empty, and all texts without words are one group. Null keys come
+    last; of equal keys the least digest of key and text stays; of rows equal in both any
+    one. A similarity of just four fifths links. Columns come out as they went in; an empty
+    table stays empty."""
     return op7_simhash.keep_one(docs, WORDS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every kept document's pieces in sequences of at most 2048 tokens."""
+    """Every kept document's pieces in sequences of at most 2048 tokens.
+
+    A null or empty text is its end id alone; null keys and repeated rows are packed like
+    any other, each on its own; of equal lengths the order of the pieces decides. Extra
+    columns are not read; an empty table gives no pieces."""
     pieces = op9_packing.cut(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     narrow = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return op9_packing.assign(narrow).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
