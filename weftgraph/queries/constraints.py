@@ -204,7 +204,10 @@ def roots(spark, sf):
     return c.root_candidates(c.closure(_kinds(spark, sf)), 5)
 
 
-@query("grounded_numbers", "R35 F29", "SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END + CASE WHEN 1000 * (o_custkey % 50) BETWEEN o_totalprice * 0.995 AND o_totalprice / 0.995 OR abs(1000.0 * (o_custkey % 50) - (o_orderkey % 50) * 1000.0) <= 0.005 * greatest(1000.0 * (o_custkey % 50), (o_orderkey % 50) * 1000.0) THEN 1 ELSE 0 END) / 2 AS grounded FROM orders WHERE o_totalprice > 1000")
+NEAR = "abs({0} - {1}) <= 0.005 * greatest(abs({0}), abs({1}))"
+
+
+@query("grounded_numbers", "R35 F29", f"WITH v AS (SELECT o_orderkey, round(o_totalprice * CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1.001 END, 2) AS x, 1000.0 * (o_custkey % 50) AS y, o_totalprice AS a, 1000.0 * (o_orderkey % 50) AS b FROM orders WHERE o_totalprice > 1000) SELECT o_orderkey, (CASE WHEN {NEAR.format('x', 'a')} OR {NEAR.format('x', 'b')} THEN 1 ELSE 0 END + CASE WHEN {NEAR.format('y', 'a')} OR {NEAR.format('y', 'b')} THEN 1 ELSE 0 END) / 2 AS grounded FROM v")
 def grounded(spark, sf):
     """An answer's two numbers, read from text, against its source's: the total (wrong in
     a third of the orders) and a rounded thousand."""
