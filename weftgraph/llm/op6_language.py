@@ -258,7 +258,10 @@ def keep_identified(docs: DataFrame, model: TextModel, threshold: float = ACCEPT
 
     Rows are told apart by a 128-bit digest of key, text and source, so repeated rows
     share their verdict and null keys keep theirs; columns are taken by position, so
-    clashing names are harmless. An empty table stays empty."""
+    clashing names are harmless. An empty table stays empty. Without a model, for lack of
+    any language label, nothing is judged and all rows stay."""
+    if not model.languages:
+        return docs
     rows = positional(docs)
     tagged = rows.withColumn("tag", row_key(*[F.col(place_of(docs, c)) for c in ("doc_id", "text", "source")]))
     named = tagged.select(F.col("tag").alias("doc_id"), F.col(place_of(docs, "text")).alias("text"), F.col(place_of(docs, "source")).alias("source"))
