@@ -32,8 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has no letters. Null keys are kept apart by text and source;
     repeated rows share a verdict; of equally likely languages the one that sorts first
-    is the verdict, and a posterior of just a half stays. Without any language label no
-    model is learnt and all go. Columns come out as they went in; an empty table stays
+    is the verdict, and a posterior of just a half stays. Without any language label
+    nothing is judged and all stay. Columns come out as they went in; an empty table stays
     empty."""
     return op6_language.keep_identified(docs, op6_language.fit(docs))
 
