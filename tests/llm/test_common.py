@@ -60,6 +60,19 @@ def test_spread_join_is_a_left_join(spark):
     assert got == {(i, k, None if k in (None, "none") else k + "!") for i, k in rows}
 
 
+def test_spread_join_deals_hot_and_null_keys(spark):
+    """Where both sides are shuffled, it is by the salt too."""
+    left = spark.range(100).selectExpr("id as i", "if(id % 3 > 0, 'hot', null) as k")
+    right = left.groupBy("k").count().selectExpr("k", "count as n", "k as said")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = c.spread_join(left, right, "k", "n", 100, "i")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(own_salt" in plan and "hashpartitioning(rest_salt" in plan
+
+
 def test_row_key_tells_nulls_and_bounds_apart(spark):
     from pyspark.sql import functions as F
 

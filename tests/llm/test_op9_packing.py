@@ -10,9 +10,12 @@ TOK = public_tokenizers.path("word_bpe_49k.json")
 
 
 def check(pieces, rows, window=2048):
-    tok = Tokenizer.from_file(TOK)
-    want = sorted(str((k, zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()[4 * s : 4 * (s + window)]))) for k, t in rows for s in range(0, len(tok.encode(t or "", add_special_tokens=False).ids) + 1, window))
-    assert sorted(str((p.doc_id, p.ids_crc32)) for p in pieces) == want
+    """Every id in one piece of its document, sequences gapless and within the window."""
+    tok, want = Tokenizer.from_file(TOK), []
+    for k, t in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(k, s, len(ids[s : s + window]), zlib.crc32(ids[s : s + window].tobytes()), len(ids)) for s in range(0, len(ids), window)]
+    assert sorted(((p.doc_id, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in pieces), key=str) == sorted(want, key=str)
     seqs = {}
     for p in pieces:
         seqs.setdefault(p.sequence_id, []).append((p.offset, p.length))
@@ -30,6 +33,15 @@ def test_query_on_odd_rows(spark, sf_dir):
     check(op.op9_packing(spark, sf_dir).collect(), rows)
 
 
+def test_little_padding(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, "word " * int(n)) for i, n in enumerate(rng.exponential(500, 600))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = op.op9_packing(spark, str(tmp_path)).collect()
+    seqs = check(pieces, rows)
+    assert sum(p.length for p in pieces) >= 0.95 * 2048 * len(seqs)
+
+
 def test_empty_table(empty):
     assert op.assign(op.cut(empty, TOK, end_id=1).drop("ids")).count() == 0
 

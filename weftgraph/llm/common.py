@@ -143,7 +143,9 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, total:
     extra = [c for c in right.columns if c not in (key, weight)]
     hot = F.col(weight) > total / HOT
     tops = right.where(hot).select(key, *[F.col(c).alias(f"hot_{c}") for c in extra], F.lit(True).alias("hot_row"))
-    rest = right.where(~hot).select(F.col(key).alias("rest_key"), F.lit(0).alias("rest_salt"), *[F.col(c).alias(f"rest_{c}") for c in extra])
+    # zero, but no constant: of a constant the planner would make a filter, and deal by the key
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    rest = right.where(~hot).select(F.col(key).alias("rest_key"), zero.alias("rest_salt"), *[F.col(c).alias(f"rest_{c}") for c in extra])
     settled = F.col("hot_row").isNotNull() | F.col(key).isNull()
     dealt = left.join(F.broadcast(tops), key, "left")
     dealt = dealt.select("*", F.when(settled, 1 + F.pmod(F.xxhash64(by), F.lit(1 << 16)).cast("int")).otherwise(0).alias("own_salt"), F.when(~settled, F.col(key)).alias("own_key"))
