@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_text, spread_join, table, written
+from .common import discard, keyed_text, spread_join, table, written
 from .components import components
 from .setjoin import DEN, NUM, blocks, long_enough, open_lists, partners, prefix_size, strangers, token_lists
 
@@ -121,29 +121,39 @@ def near_classes(sets: DataFrame) -> DataFrame:
     sig), repeats allowed; a group's root is its least node.
 
     Every class meets one partner, then one of another group; what is left is compared
-    within blocks of a signature's list, by length, group and exact Jaccard."""
-    own = sets.select("node", "sig").dropDuplicates(["node"])
+    within blocks, by length, group and exact Jaccard. A block gives one link a class, and
+    groups so joined are one to the next round; the last round finds none."""
+
+    def own(nodes: DataFrame) -> DataFrame:
+        return written(sets.select("node", "sig").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]), "spot-own")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        some = written(own.join(ends, "node", "left_semi"), "spot-own")
+        pairs = written(pairs, "pairs")
+        some = own(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         both = pairs.join(some.toDF("a", "x"), "a").join(some.toDF("b", "y"), "b")
-        return written(both.where(jaccard(F.col("x"), F.col("y")) >= THRESHOLD - 1e-12).select("a", "b"), "links")
-
-    lists = token_lists(prefixes(sets))
-    near = verified(written(partners(lists), "pairs"))
-    opened = open_lists(lists, near)
-    near = near.unionByName(verified(written(strangers(opened), "pairs")))
-    opened = open_lists(opened.select("tok", "node", "n"), near)
-    wanted = opened.select("node").distinct()
-    got = blocks(opened, written(own.join(wanted, "node", "left_semi").withColumnRenamed("sig", "what"), "spot-own"))
+        found = written(both.where(jaccard(F.col("x"), F.col("y")) >= THRESHOLD - 1e-12).select("a", "b"), "links")
+        discard(pairs)
+        discard(some)
+        return found
 
     def close(x: Column, y: Column) -> Column:
         apart = (F.col("i") == F.col("j")) | (x["own"] != y["own"])
-        return (x["node"] < y["node"]) & (x["root"] != y["root"]) & apart & long_enough(x["n"], y["n"]) & (jaccard(x["what"], y["what"]) >= THRESHOLD - 1e-12)
+        return (x["root"] != y["root"]) & apart & long_enough(x["n"], y["n"]) & (jaccard(x["what"], y["what"]) >= THRESHOLD - 1e-12)
 
-    pairs = F.transform("members", lambda x: F.transform(F.filter("members", lambda y: close(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
-    return components(near.unionByName(written(got.select(F.inline(F.flatten(pairs))).distinct(), "links")))
+    lists = token_lists(prefixes(sets))
+    near = verified(partners(lists))
+    opened = open_lists(lists, near)
+    near = near.unionByName(verified(strangers(opened)))
+    one = F.transform("members", lambda x: F.struct(x["node"].alias("a"), F.get(F.filter("members", lambda y: close(x, y)), F.lit(0))["node"].alias("b")))
+    while True:
+        opened = open_lists(opened.select("tok", "node", "n"), near)
+        some = own(opened.select("node"))
+        links = blocks(opened, some.withColumnRenamed("sig", "what")).select(F.inline(F.filter(one, lambda p: p["b"].isNotNull())))
+        found = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        discard(some)
+        if found.isEmpty():
+            return components(near)
+        near = near.unionByName(found)
 
 
 def near_pairs(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import components
 
 #: The similarity that links, as a ratio.
@@ -60,7 +60,9 @@ def open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
     each list beginning with the least node of its least group."""
     rooted = written(lists.join(components(links), "node", "left").select("tok", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
     open_ = rooted.groupBy("tok").agg(F.min(F.struct("root", "node", "n")).alias("first"), F.max("root").alias("last")).where("first.root < last").select("tok", "first")
-    return written(rooted.join(open_, "tok").select("tok", "node", "n", "root", "first"), "open")
+    opened = written(rooted.join(open_, "tok").select("tok", "node", "n", "root", "first"), "open")
+    discard(rooted)
+    return opened
 
 
 def strangers(opened: DataFrame) -> DataFrame:
