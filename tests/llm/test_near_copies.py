@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftgraph.llm import near_copies as op
 from weftgraph.llm import op7_simhash
@@ -88,3 +89,30 @@ def test_bit_maps_lose_no_pair():
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if op.similar(sets[i], sets[j])}
     assert want <= got and len(got) < 4 * len(want)
     assert all(np.array_equal(op.folded(m, len(m) // 2), op.folded(op.folded(m, len(m) // 2), len(m) // 2)) for m in maps if len(m) > 1)
+
+
+def test_a_dense_group_gives_fewer_links_than_sets():
+    """Of a group in which all pairs are close, links connect it; they are not its pairs."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(300) < 0.03, rng.integers(0, 2**63, 300).astype(np.uint64), base)) for _ in range(80)]
+    sets += [np.unique(rng.integers(0, 2**63, 300).astype(np.uint64)) for _ in range(20)]
+    every, sizes = np.arange(100), np.array([len(s) for s in sets])
+    assert len(set(op.close_pairs(every, every, sizes, None, [op.bit_map(s) for s in sets], False))) > 3000
+    for own in (None, every % 2):
+        got, label = op.connecting(every, own, sets), list(range(100))
+        for i, j in got:
+            assert op.similar(sets[i], sets[j]) and (own is None or own[i] != own[j])
+            label = [label[i] if x == label[j] else x for x in label]
+        assert len(got) == 79 and len(set(label[:80])) == 1 and len(set(label)) == 21
+
+
+def test_a_large_root_does_not_meet_itself(spark):
+    """900 nodes of one root and 3 others in a list: the 3 stand in every block, the
+    others once, and each pair of different roots meets once."""
+    rows = [(1, i, 9, i if i > 900 else 0, (0, 0, 9)) for i in range(1, 904)]
+    opened = spark.createDataFrame(rows, "tok long, node long, n int, root long, first struct<root: long, node: long, n: int>")
+    got = op.blocks(opened, opened.select("node", F.lit(b"").alias("what"))).collect()
+    assert sum(r.i != r.j for r in got) == 4 and sum(len(r["members"]) for r in got) == 900 + 3 * 5
+    met = [frozenset((x.node, y.node)) for r in got for x, y in combinations(r["members"], 2) if x.root != y.root and (r.i == r.j or x.own != y.own)]
+    assert len(met) == len(set(met)) == 3 * 900 + 3

@@ -10,7 +10,8 @@ filter of ``setjoin``, which is exact. Nothing is lost and nothing below is link
 Within a list of texts that share a shingle, pairs are judged by bit maps first: a map has
 a bit flipped for each shingle, so two maps differ in no more bits than the sets in
 shingles. A pair whose maps differ in more than a ninth of both sizes is no near copy;
-most others are.
+most others are. What then stands in a close pair is read again and compared on whole
+sets in its block, which gives links that connect it and not all its pairs.
 
 The order of shingles puts those that a sample of texts has seen often last; the sample
 changes the lists that are compared, never the result.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, schema_of, slices, spread_join, written
+from .common import discard, picked, schema_of, slices, spread_join, written
 from .op7_simhash import RADIUS, SEED, links, majority, shingles
 from .components import components
 from .setjoin import DEN, NUM, blocks, open_lists, partners, prefix_length, token_lists
@@ -152,26 +153,56 @@ def prefixes(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, f"{schema_of(rows, 'doc_id')}, h long, node long, n int, fp long, toks array<bigint>, map binary")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, own binary) of the texts whose hashes ``wanted.h`` has. No text is shuffled:
-    a bit map of the hashes, of one size whatever the table's, lets a few others pass."""
-    bit = F.pmod("h", F.lit(MAP))
-    parts = wanted.groupBy(F.floor(bit / 64).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {MAP}) % 64 as int))")).alias("bits")).collect()
-    bits = np.zeros(MAP // 64, np.int64)
+def bits_of(wanted: DataFrame) -> list[np.ndarray]:
+    """Two bit maps of one size, whatever the table's: of the values of ``h`` and of ``node``."""
+    each = wanted.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.pmod(c, F.lit(MAP)).alias("bit")) for k, c in enumerate(("h", "node"))])))
+    parts = each.groupBy("k", F.floor(F.col("bit") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
+    bits = np.zeros((2, MAP // 64), np.int64)
     for r in parts:
-        bits[r["at"]] = r["bits"]
-    bits = bits.view(np.uint64)
+        bits[r["k"], r["at"]] = r["bits"]
+    return list(bits.view(np.uint64))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, own binary) of the texts whose hashes ``wanted.h`` has, one row a node, and
+    of a few others that the bit maps let pass. No text is shuffled, a set once; of equal
+    texts a task reads one."""
+    by_text, by_node = bits_of(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in slices(batches, 0):
-            at = batch.column(1).to_numpy() % MAP
-            take = np.flatnonzero((bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1))
-            own = [shingle_set(batch.column(0)[int(i)].as_py().encode(), words) for i in take]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in own], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(take)), pa.array(nodes), pa.array([s.tobytes() for s in own], pa.binary())], ["h", "node", "own"])
+            h = batch.column(1).to_numpy()
+            at, own = h % MAP, {}
+            for i in np.flatnonzero((by_text[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)):
+                if h[i] not in done:
+                    done.add(h[i])
+                    s = shingle_set(batch.column(0)[int(i)].as_py().encode(), words).tobytes()
+                    node = xxhash.xxh64_intdigest(s, SEED)
+                    node -= node >> 63 << 64
+                    if int(by_node[node % MAP // 64]) >> (node % MAP % 64) & 1:
+                        own[node] = s
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["node", "own"])
+
+    return _hashed(docs).select("text", "h").mapInArrow(run, "node long, own binary").dropDuplicates(["node"])
+
+
+def likely(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose sizes and bit maps allow the similarity: exact,
+    no similar pair is lost, and few sets are read for others. ``maps``: a row a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n, m = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(k)] for k in (4, 5))
+            least = [min(len(p), len(q)) for p, q in zip(x, y, strict=True)]
+            near = DEN * np.minimum(n, m) >= NUM * np.maximum(n, m)
+            differ = np.array([int(np.bitwise_count(folded(p, w) ^ folded(q, w)).sum()) if ok else 0 for p, q, w, ok in zip(x, y, least, near, strict=True)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(near & ((DEN + NUM) * differ <= (DEN - NUM) * (n + m))))
 
-    found = _hashed(docs).select("text", "h").mapInArrow(run, "h long, node long, own binary")
-    return found.join(wanted.select("h").distinct(), "h", "left_semi").select("node", "own").dropDuplicates(["node"])
+    one = pairs.join(maps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("map").alias("x")), "a")
+    both = one.join(maps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("map").alias("y")), "b")
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -199,17 +230,48 @@ def simhash_candidates(rows: DataFrame, radius: int) -> DataFrame:
     return near.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same)
 
 
-def compared(groups: DataFrame, best: bool) -> DataFrame:
-    """The close pairs (a, b) of ``blocks`` whose payload is the bit map."""
+def connecting(roots: np.ndarray, own: np.ndarray | None, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Places of similar sets, fewer than there are sets: they connect the roots (of
+    different blocks ``own``, if given) that any similar pairs connect."""
+    every, label, out = np.arange(len(sets)), np.unique(roots, return_inverse=True)[1], []
+    left = np.array(sorted(set(close_pairs(every, roots, np.array([len(s) for s in sets]), own, [bit_map(s) for s in sets], False))), np.int64).reshape(-1, 2)
+    while len(left):
+        for i, j in left[:64].tolist():
+            if label[i] != label[j] and similar(sets[i], sets[j]):
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+        left = left[64:]
+        left = left[label[left[:, 0]] != label[left[:, 1]]]
+    return out
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """node, root, n, block (None within one block) and payload of each group of ``blocks``."""
+    for batch in slices(batches, rows=256):
+        for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            own = members.values
+            node, root, n, block = (own.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            yield node, root, n.astype(np.int64), None if i == j else block, [np.frombuffer(m.as_buffer(), np.uint64) for m in own.field(4)]
+
+
+def suspects(groups: DataFrame) -> DataFrame:
+    """The nodes that are in a close pair of ``blocks`` whose payload is the bit map: no
+    more rows than members, however many pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, root, n, block, maps in _members(batches):
+            found = sorted({x for p in close_pairs(node, root, n, block, maps, False) for x in p})
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["node"])
+
+    return groups.select("i", "j", "members").mapInArrow(run, "node long").distinct()
+
+
+def joined(groups: DataFrame) -> DataFrame:
+    """The connecting links (a, b) of ``blocks`` whose payload is the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, rows=256):
-            found = []
-            for i, j, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = members.values
-                node, root, n, block = (own.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-                found += close_pairs(node, root, n.astype(np.int64), None if i == j else block, [np.frombuffer(m.as_buffer(), np.uint64) for m in own.field(4)], best)
-            found = sorted(set(found))
+        for node, root, _, block, sets in _members(batches):
+            found = [sorted((node[i], node[j])) for i, j in connecting(root, block, sets)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return groups.select("i", "j", "members").mapInArrow(run, "a long, b long").distinct()
@@ -217,25 +279,32 @@ def compared(groups: DataFrame, best: bool) -> DataFrame:
 
 def near_copy_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id and component_id (the least key of the group) of every row of ``docs``."""
-    rows = written(prefixes(docs, words), "shingles")
-    maps = rows.select("node", F.col("map").alias("what"))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = written(rows.select("node", "h").join(ends, "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")), "wanted")
-        return written(verified(pairs, written(sets_of(docs, wanted, words), "sets")), "links")
-
-    lists = token_lists(rows.select("node", "n", "toks"))
-    found = simhash_candidates(rows, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    near = checked(found.unionByName(partners(lists)).distinct())
-    for best in (True, False):
-        # the closest of each other group first, then whatever may still be near
-        opened = open_lists(lists, near)
-        wanted = opened.select("node").distinct()
-        own = written(maps.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "maps")
-        near = near.unionByName(checked(compared(blocks(opened, own), best)))
-        lists = opened.select("tok", "node", "n")
+    wide = written(prefixes(docs, words), "shingles")
+    rows = written(wide.select("doc_id", "h", "node"), "keys")
+    maps = written(wide.select("node", "n", "map").dropDuplicates(["node"]), "maps")
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        return sets_of(docs, rows.select("node", "h").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")), words)
+
+    lists = token_lists(wide.select("node", "n", "toks"))
+    found = simhash_candidates(wide, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(likely(found.unionByName(partners(lists)).distinct(), maps), "pairs")
+    discard(wide)
+    near = written(verified(pairs, sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))), "links")
+    discard(pairs)
+    for whole in (False, True):
+        # each block of a list by itself, which leaves few groups, then all against all
+        opened = open_lists(lists.select("tok", "node", "n"), near)
+        discard(lists)
+        what = opened.select("node").distinct()
+        near_maps = maps.join(what, "node", "left_semi").select("node", F.col("map").alias("what"))
+        some = written(suspects(blocks(opened, near_maps, whole)), "suspects")
+        few = opened.join(some, "node", "left_semi")
+        near = near.unionByName(written(joined(blocks(few, sets(some).withColumnRenamed("own", "what"), whole)), "links"))
+        discard(some)
+        lists = opened
+    discard(lists)
+    discard(maps)
     found = components(near)
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     roots = written(least.join(found, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root")), "roots")

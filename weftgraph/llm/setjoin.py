@@ -72,17 +72,29 @@ def strangers(opened: DataFrame) -> DataFrame:
     return opened.where(ok).groupBy("node").agg(F.min("first.node").alias("other")).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
 
 
-def blocks(opened: DataFrame, payload: DataFrame) -> DataFrame:
+def blocks(opened: DataFrame, payload: DataFrame, whole: bool = True) -> DataFrame:
     """(i, j, members) of each pair of blocks of nodes that may be near: members have
     node, root, n, their block ``own``, and ``what`` of ``payload`` (node, what). Members of
     two different blocks are to be compared where i < j, all where i = j.
 
     The lists that begin with the same group are one: its nodes, and all that share a token
-    with one of them, stand there once, however many tokens they share."""
+    with one of them, stand there once, however many tokens they share. The nodes of a
+    root with more than a block's have blocks of their own, which do not meet each other.
+    Unless ``whole``, no block meets another one."""
     each = opened.select(F.col("first.root").alias("of"), "node", "n", "root").distinct()
-    sizes = each.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    dealt = each.join(sizes, "of", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-    sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j")))
+    groups = each.groupBy("of", "root").agg(F.count(F.lit(1)).alias("c"))
+    sizes = groups.groupBy("of").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("c")).where(F.col("c") > BLOCK)
+    alone = F.when(F.col("most") > BLOCK, F.col("most")).otherwise(0)
+    needed = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = sizes.select("of", F.when(alone > 0, F.col("top")).alias("top"), needed(F.col("c") - alone).alias("mixed"), needed(alone).alias("tops"))
+    dealt = each.join(sizes, "of", "left").withColumn("mixed", F.coalesce("mixed", F.lit(1))).withColumn("tops", F.coalesce("tops", F.lit(0)))
+    at_top, hashed = F.coalesce(F.col("root") == F.col("top"), F.lit(False)), F.xxhash64(F.lit("block"), "node")
+    place = F.when(at_top, F.col("mixed") + F.pmod(hashed, F.greatest("tops", F.lit(1)))).otherwise(F.pmod(hashed, F.greatest("mixed", F.lit(1))))
+    if not whole:
+        place = F.pmod(hashed, F.greatest(F.col("mixed") + F.col("tops"), F.lit(1)))
+    dealt = dealt.withColumn("own", place.cast("int"))
+    met = F.col("mixed") + F.when(at_top, 0).otherwise(F.col("tops"))
+    sides = F.transform(F.sequence(F.lit(0), met - 1), lambda c: F.struct(F.least("own", c).alias("i"), F.greatest("own", c).alias("j")))
+    sides = F.when(met > 0, sides) if whole else F.array(F.struct(F.col("own").alias("i"), F.col("own").alias("j")))
     member = F.struct("node", "root", "n", "own", "what").alias("member")
     return dealt.join(payload, "node").select("of", member, F.inline(sides)).groupBy("of", "i", "j").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1).select("i", "j", "members")
