@@ -183,3 +183,21 @@ def test_metrics_edges(spark):
 def test_security_hides_unknown_classes(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id int, x string, y string")
     assert rows(e.disclose(df, {"x": "public", "y": "??"}, "confidential")) == [(1, "a", None)]
+
+
+def test_top_each_equals_all_pairs(spark):
+    """Copies, zeros, nulls, odd numbers and lengths: what cosine itself gives for each
+    pair; and no pair of a query and an item becomes a row."""
+    from pyspark.sql import Window
+
+    from weftgraph.operators import retrieval as v
+
+    vecs = [[float((i * 7 + j * 5) % 11 - 5) for j in range(4)] for i in range(60)] + [[1.0, 1.0, 0.0, 0.0]] * 9
+    vecs += [[0.0] * 4, None, [1.0, None, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [1e200, 1.0, 0.0, 0.0], [1.0, 2.0], [], [1.0, 0.0, 0.0, 8000.0]]
+    items = spark.createDataFrame([(i, x) for i, x in enumerate(vecs)], "id long, embedding array<double>").repartition(3)
+    asked = items.where("id % 3 = 0 or id > 66").select(F.col("id").alias("query"), F.col("embedding").alias("q"))
+    pairs = items.crossJoin(asked).select("query", "id", F.round(v.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where("rank <= 5")
+    got = v.top_each(items, asked, 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "zip_with" not in got._jdf.queryExecution().toString()
