@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftgraph.llm import op4_spotsigs as op
 
@@ -104,3 +105,18 @@ def test_one_row_and_empty_table(spark, empty):
     assert [r.edited for r in op.edited_neighbours(one).collect()] == ["the a b c d ethe "]
     assert op.edited_neighbours(empty).count() == 0
     assert op.near_pairs(spark.createDataFrame([], "fingerprint string")).count() == 0
+
+
+def test_bit_maps_rule_out_strangers_only(spark):
+    """Maps let every similar pair pass, and hardly any pair of strangers."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(40):
+        base = rng.integers(-(2**31), 2**31, 90)
+        rows += [(i, k, sorted({int(x) for x in np.where(rng.random(90) < 0.03 * k, rng.integers(-(2**31), 2**31, 90), base)})) for k in range(4)]
+    sets = spark.createDataFrame(rows, "i int, k int, sig array<int>").withColumn("map", op.bit_map(F.col("sig")))
+    both = sets.alias("x").crossJoin(sets.alias("y")).where("x.i < y.i or (x.i = y.i and x.k < y.k)")
+    near = op.jaccard(F.col("x.sig"), F.col("y.sig")) >= 0.8
+    got = both.groupBy(near.alias("near"), op.may_be(F.col("x.map"), F.col("y.map"), F.size("x.sig") + F.size("y.sig")).alias("may")).count().collect()
+    count = {(r.near, r.may): r["count"] for r in got}
+    assert (True, False) not in count and count[True, True] > 100 and count[False, True] < 200 and count[False, False] > 10000

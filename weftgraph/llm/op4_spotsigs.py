@@ -92,6 +92,20 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def bit_map(sig: Column) -> Column:
+    """256 bits of a set in four longs: a bit is flipped for each signature, so two maps
+    differ in no more bits than the sets in signatures."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(h / 4).cast("long"), F.lit(64)).cast("int"))
+    part = lambda k: F.filter(sig, lambda h: F.pmod(h, F.lit(4)) == k)
+    return F.array(*[F.aggregate(part(k), F.lit(0).cast("long"), lambda m, h: m.bitwiseXOR(bit(h))) for k in range(4)])
+
+
+def may_be(x: Column, y: Column, both: Column) -> Column:
+    """Whether sets of these maps, of ``both`` signatures together, can be similar."""
+    differ = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(1, 4)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+    return differ * (DEN + NUM) <= both * (DEN - NUM)
+
+
 def common_signatures(sets: DataFrame) -> list[list[int]]:
     """The signatures that several classes of a sample have, the commonest first, as two
     tiers of bounded length. ``sets``: rows (node, sig)."""
@@ -122,7 +136,9 @@ def near_classes(sets: DataFrame) -> DataFrame:
 
     Every class meets one partner, then one of another group; what is left is compared
     within blocks, by length, group and exact Jaccard. A block gives one link a class, and
-    groups so joined are one to the next round; the last round finds none."""
+    groups so joined are one to the next round; the last round finds none. A class that
+    gave no link has no similar one in another group, now or later, so only those that gave
+    one go on. Bit maps settle most pairs of strangers before sets are compared."""
 
     def own(nodes: DataFrame) -> DataFrame:
         return written(sets.select("node", "sig").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]), "spot-own")
@@ -138,22 +154,31 @@ def near_classes(sets: DataFrame) -> DataFrame:
 
     def close(x: Column, y: Column) -> Column:
         apart = (F.col("i") == F.col("j")) | (x["own"] != y["own"])
-        return (x["root"] != y["root"]) & apart & long_enough(x["n"], y["n"]) & (jaccard(x["what"], y["what"]) >= THRESHOLD - 1e-12)
+        u, v = x["what"], y["what"]
+        return (x["root"] != y["root"]) & apart & long_enough(x["n"], y["n"]) & may_be(u["map"], v["map"], x["n"] + y["n"]) & (jaccard(u["sig"], v["sig"]) >= THRESHOLD - 1e-12)
 
     lists = token_lists(prefixes(sets))
     near = verified(partners(lists))
     opened = open_lists(lists, near)
+    discard(lists)
     near = near.unionByName(verified(strangers(opened)))
     one = F.transform("members", lambda x: F.struct(x["node"].alias("a"), F.get(F.filter("members", lambda y: close(x, y)), F.lit(0))["node"].alias("b")))
     while True:
-        opened = open_lists(opened.select("tok", "node", "n"), near)
+        before, opened = opened, open_lists(opened.select("tok", "node", "n"), near)
+        discard(before)
         some = own(opened.select("node"))
-        links = blocks(opened, some.withColumnRenamed("sig", "what")).select(F.inline(F.filter(one, lambda p: p["b"].isNotNull())))
-        found = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        links = blocks(opened, some.select("node", F.struct("sig", bit_map(F.col("sig")).alias("map")).alias("what"))).select(F.inline(F.filter(one, lambda p: p["b"].isNotNull())))
+        given = written(links.distinct(), "given")
+        found = written(given.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
         discard(some)
         if found.isEmpty():
+            discard(opened)
             return components(near)
         near = near.unionByName(found)
+        still = opened
+        opened = written(opened.select("tok", "node", "n").join(given.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), "still")
+        discard(still)
+        discard(given)
 
 
 def near_pairs(prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
