@@ -54,6 +54,34 @@ def test_components_and_communities(spark):
     assert len({x[1] for x in rows(a.label_propagation(df))}) >= 2
 
 
+def test_components_of_a_path_whose_ids_fall(spark):
+    # the least label went one edge a round here, and the planner's estimates doubled their digits in each
+    order = [0, *range(60, 0, -1)]
+    df = spark.createDataFrame(list(zip(order, order[1:])), "src long, dst long")
+    assert rows(a.components(df), "node") == [(i, 0) for i in range(61)]
+
+
+def test_components_of_random_graphs_with_hubs(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(420)] + [(950, 1000 + i) for i in range(700)] + [(1001, 950), (None, 3), (4, None), (8, 8)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        if x is not None and y is not None and x != y:
+            x, y = sorted((find(x), find(y)))
+            root[y] = x
+    want = sorted((x, find(x)) for x in root)
+    assert rows(a.components(spark.createDataFrame(pairs, "src long, dst long")), "node") == want
+    assert rows(a.components(spark.createDataFrame([("b", "c"), ("c", "a"), ("y", "z")], "src string, dst string")), "node") == [("a", "a"), ("b", "a"), ("c", "a"), ("y", "y"), ("z", "y")]
+
+
 def test_pagerank_sums_to_one(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
     assert sum(x[1] for x in rows(a.pagerank(df))) == pytest.approx(1.0)

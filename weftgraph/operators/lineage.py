@@ -30,3 +30,21 @@ def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder."""
     shared(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again. A checkpoint keeps the planner's
+    estimate of what made it, and a loop that joins its state with itself doubles the
+    digits of that with every round; files have the size they have."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.weft_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a ``written`` table that no later step reads."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.weft_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
